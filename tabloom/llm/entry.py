@@ -2,7 +2,15 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import mixing, quality_rules, url_filters
 
-QUERIES = {"op1_quality_rules": quality_rules.op1_quality_rules}
-ORACLES = {"op1_quality_rules": quality_rules.ORACLE_SQL}
+QUERIES = {
+    "op1_quality_rules": quality_rules.op1_quality_rules,
+    "op4_mixing": mixing.op4_mixing,
+    "op7_url_filters": url_filters.op7_url_filters,
+}
+ORACLES = {
+    "op1_quality_rules": quality_rules.ORACLE_SQL,
+    "op4_mixing": mixing.ORACLE_SQL,
+    "op7_url_filters": url_filters.ORACLE_SQL,
+}
