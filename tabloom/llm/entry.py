@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, quality_rules, url_filters
+from . import mixing, packing, quality_rules, token_counts, url_filters
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
+    "op3_token_counts": token_counts.op3_token_counts,
     "op4_mixing": mixing.op4_mixing,
+    "op6_packing": packing.op6_packing,
     "op7_url_filters": url_filters.op7_url_filters,
 }
 ORACLES = {

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import let, small, words_of, work_table
@@ -126,8 +126,9 @@ def cutoffs(labelled: DataFrame, stratum: str = "lang", alpha: float = ALPHA, de
         .agg(F.count("*").alias("n"), F.count_if("t.hit").alias("k"))
     )
     n_tests = sum(len(g) for *_, g in RULES.values())
-    strata = counts.agg(F.count_distinct(F.coalesce(F.concat(F.lit("="), F.col("stratum").cast("string")), F.lit("null"))).alias("strata"))
-    tested = counts.join(F.broadcast(strata), how="cross")  # one row
+    name = F.coalesce(F.concat(F.lit("="), F.col("stratum").cast("string")), F.lit("null"))
+    # the window runs over strata x rules x cutoffs, not documents
+    tested = counts.withColumn("strata", F.size(F.collect_set(name).over(Window.partitionBy(F.lit(1)))))
     tail = binomial_tail(F.col("n"), F.col("k"), alpha / len(RULES))
     return tested.where(tail <= delta / (n_tests * F.col("strata"))).groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff"))
 

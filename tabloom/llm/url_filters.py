@@ -39,7 +39,9 @@ def path_of(url: Column) -> Column:
 def listing(spark: SparkSession, rules=RULES, listed=LISTED) -> DataFrame:
     """(host, path, verdict, rank): rank 1 for rules, 0 for plain entries."""
     rows = [(*r, 1) for r in rules] + [(*r, 0) for r in listed]
-    return spark.createDataFrame(rows, "host string, path string, verdict string, rank int")
+    names = ("host", "path", "verdict", "rank")
+    structs = [F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row, strict=True)]) for row in rows]
+    return spark.range(1).select(F.inline(F.array(*structs)))
 
 
 def _masks(key: Column) -> list[Column]:
