@@ -6,7 +6,9 @@ import os
 import re
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,8 +45,24 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def _ship(spark: SparkSession) -> None:
+    """Give the executors this package, once for each application."""
+    context = spark.sparkContext
+    if getattr(context, "_tabloom_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    at = Path(tempfile.mkdtemp(prefix="tabloom-code-")) / "tabloom_code.zip"
+    with zipfile.ZipFile(at, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    context.addPyFile(str(at))
+    context._tabloom_shipped = True
+
+
 def arrow_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound the rows (and, where the release knows it, the bytes) of an Arrow batch: texts can be long."""
+    """Bound the rows (and, where the release knows it, the bytes) of an Arrow batch: texts can be long. Called before
+    each Python stage, so it also sees to it that the executors have the code."""
+    _ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
 
