@@ -34,7 +34,7 @@ from .common import map_rows, public_vocabulary, table
 LIMIT = 1024
 CHUNK = 1 << 16
 #: bounds of what a worker keeps; beyond them results are computed again, never changed
-MAX_STATES, MAX_MACROS, MAX_PAIRS = 20_000, 200_000, 500_000
+MAX_STATES, MAX_MACROS, MAX_PAIRS = 100_000, 200_000, 500_000
 #: white space of the split pattern (the Unicode property, unlike \\s of Python's re)
 ODD_SPACE = r"\t\x0b\x0c\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPACE = rf"\n {ODD_SPACE}"
@@ -188,7 +188,7 @@ class Counter:
             spec = json.load(f)
         self.transducer = Transducer(spec["model"]["vocab"], spec["model"]["merges"])
         self.macros = Macros(lambda word: self.transducer.count(word.encode()))
-        self.runs = Macros(lambda run: self.by_words(" " + run))
+        self.runs = Macros(self._run)
         self.odd = re.compile(rf"[{ODD_SPACE}]").search
         special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
@@ -208,6 +208,14 @@ class Counter:
         first, *runs = text.split(" ")  # every space follows a character that is none: a point of known state
         return self.by_words(first) + sum(map(self.runs.__getitem__, runs))
 
+    def _run(self, run: str) -> int:
+        """Tokens of a space and what follows it up to the next one."""
+        if run.isalpha():
+            return self.transducer.count(b" " + run.encode())
+        if run[-1:] in (".", ",") and run[:-1].isalpha():
+            return self.macros[" " + run[:-1]] + self.macros[run[-1]]
+        return self.by_words(" " + run)
+
     def by_words(self, text: str) -> int:
         return sum(map(self.macros.__getitem__, self.split(text)))
 
