@@ -25,7 +25,6 @@ import bisect
 import re
 import unicodedata
 import zlib
-from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -47,31 +46,51 @@ class WordIds:
     texts for which that does not hold go to the library whole."""
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
         letter, number = char_class("L"), char_class("N")
         self.split = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{number}]|[^{SPACE}{letter}{number}]+").findall
-        self.letters = {b: c for c, b in byte_alphabet().items()}
+        # the model alone: words in byte letters, one a line
+        self.letters = {b: "\n" if b == 10 else c for c, b in byte_alphabet().items()}
+        self.bare = Tokenizer.from_file(path)
+        self.bare.normalizer, self.bare.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.Split("\n", "removed")
+        vocabulary = self.library.get_vocab(with_added_tokens=False)
+        self.final = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.final[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.runs: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _parts(self, run: str) -> list[str]:
-        if run.isalpha():
-            return [run]
-        if run[-1] in ".," and run[:-1].isalpha():
-            return [run[:-1], run[-1]]
-        return self.split(run)
-
     def _learn(self, runs: set[str]) -> None:
-        parts = [self._parts(r) for r in runs]
-        words, merge, letters = self.words, self.library.model.tokenize, self.letters
-        for w in {w for p in parts for w in p}.difference(words):
-            words[w] = array("I", [t.id for t in merge(w.encode().decode("latin1").translate(letters))]).tobytes()
-        self.runs.update((r, b"".join([words[w] for w in p])) for r, p in zip(runs, parts, strict=True))
+        words, split = self.words, self.split
+        parts: dict[str, list[str]] = {}
+        new: set[str] = set()
+        for r in runs:  # a word, a word with a mark, or whatever the pattern says
+            core, last = (r[:-1], r[-1]) if r[-1] in ".," else (r, "")
+            if core.isalpha():
+                parts[r] = [core, last] if last else [core]
+            else:
+                parts[r] = split(r)
+        new.update(*parts.values())
+        new.difference_update(words)
+        if new:
+            order = list(new)
+            bare = "\n".join(order).encode().decode("latin1").translate(self.letters)
+            (found,) = self.bare.encode_batch_fast([bare], add_special_tokens=False)
+            ids = np.asarray(found.ids, "<u4")
+            ends = np.flatnonzero(self.final[ids]) + 1  # every word ends in a token of its own kind
+            if len(ends) != len(order):
+                raise AssertionError("a word has no final token")
+            raw, start = ids.tobytes(), 0
+            for word, end in zip(order, (4 * ends).tolist(), strict=True):
+                words[word] = raw[start:end]
+                start = end
+        known = self.runs
+        for r, p in parts.items():
+            known[r] = words[p[0]] if len(p) == 1 else words[p[0]] + words[p[1]] if len(p) == 2 else b"".join([words[w] for w in p])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text; ``texts`` together should be some megabytes at most."""
