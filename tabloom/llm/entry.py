@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import html_extract, language_id, mixing, packing, quality_rules, token_counts, toxicity, url_filters, winnowing
+from . import html_extract, language_id, mixing, ngram_join, packing, quality_rules, token_counts, toxicity, url_filters, winnowing
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_url_filters": url_filters.op7_url_filters,
     "op8_fingerprints": winnowing.op8_fingerprints,
     "op9_html_extraction": html_extract.op9_html_extraction,
+    "op10_ngram_join": ngram_join.op10_ngram_join,
 }
 ORACLES = {
     "op1_quality_rules": quality_rules.ORACLE_SQL,
