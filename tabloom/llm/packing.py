@@ -36,7 +36,7 @@ from .token_counts import SPACE, byte_alphabet, char_class
 
 CAPACITY, CLOSING_ID, SALTS = 2048, 0, 64
 #: what a worker keeps between batches at most
-MAX_WORDS = 300_000
+MAX_WORDS = 800_000
 _CONTROL = re.compile(r"[\x1c-\x1f]").search
 
 
