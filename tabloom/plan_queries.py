@@ -279,7 +279,8 @@ def stream_windows(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query()
 def learn_portfolio(spark: SparkSession, sf: str) -> DataFrame:
-    """The features that the whole funnel selects to predict an item's price."""
-    items = _table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_shipdate", "l_extendedprice")
-    found = learn(items, "l_extendedprice", ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"], size=4, candidates=("ridge",))
+    """The features that the whole funnel selects to predict a total that prices, quantities and dates make."""
+    total = "l_extendedprice * sqrt(l_quantity) / 50 - 40 * l_discount * l_quantity + 100 * month(l_shipdate) AS total"
+    items = _table(spark, sf, "lineitem").selectExpr("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_shipdate", total)
+    found = learn(items, "total", ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"], size=4, candidates=("ridge",))
     return spark.createDataFrame([(i, f.name, float(g)) for i, (f, g) in enumerate(found.selection.chosen)], "position int, feature string, gain double")

@@ -45,27 +45,59 @@ class ColumnProfile:
         return self.distinct / seen if seen else 0.0
 
 
+def _value(name: str, kind: str) -> tuple[Column, Column]:
+    """(trimmed text of the value or null if it is missing in any way, whether it is a missing token)."""
+    t = F.trim(F.col(f"`{name}`").cast("string"))
+    token = t.isin(*MISSING_TOKENS) if kind in ("string", "double", "float") else F.lit(False)
+    return F.when((t != "") & ~token, t), token
+
+
+_NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double")
+
+
 def _stats(name: str, kind: str, exact: bool) -> list[Column]:
+    """The aggregates of one column; typed columns need none of those that parse text."""
     c = F.col(f"`{name}`")
     s = c.cast("string")
-    t = F.trim(s)
-    token = t.isin(*MISSING_TOKENS) if kind in ("string", "double", "float") else F.lit(False)
-    v = F.when((t != "") & ~token, t)
-    x = v.try_cast("double")
-    x = F.when(~F.isnan(x), x)
-    finite = F.when(F.abs(x) != float("inf"), x)
-    distinct = F.count_distinct(v) if exact else F.approx_count_distinct(v, 0.02)
-    named = {
-        "true_null": F.count_if(s.isNull()), "empty": F.count_if(s == ""), "whitespace": F.count_if((s != "") & (t == "")), "token": F.count_if(token), "suspicious": F.count_if(v.isin(*SUSPICIOUS)),
-        "distinct": distinct, "numeric": F.count(x), "min": F.min(x), "max": F.max(x), "mean": F.avg(finite), "std": F.stddev_samp(finite), "zeros": F.count_if(x == 0), "negative": F.count_if(x < 0),
-        "inf": F.count_if(F.abs(x) == float("inf")), "nan": F.count_if(F.isnan(c) if kind in ("double", "float") else F.lit(False)), "skew": F.skewness(finite), "kurtosis": F.kurtosis(finite),
-        "integers": F.count_if(v.rlike(INTEGER)), "floats": F.count_if(v.rlike(FLOAT)), "dates": F.count_if(v.rlike(DATE)), "timestamps": F.count_if(v.rlike(TIMESTAMP)),
-        "booleans": F.count_if(F.lower(v).isin("true", "false", "yes", "no", "t", "f", "y", "n")), "length": F.avg(F.length(v)), "length_std": F.stddev_pop(F.length(v)), "tokens": F.avg(F.floor(F.length(v) / 4)),
-        "uuids": F.count_if(F.length(v) - F.length(F.replace(v, F.lit("-"), F.lit(""))) == 4), "signature": F.bit_xor(F.xxhash64(F.coalesce(s, F.lit("\0")), F.xxhash64(*_rowkey(name)))),
-    }
+    distinct_of: Column
+    if kind in _NUMBERS:
+        x = c.cast("double")
+        token = F.isnan(c) if kind in ("float", "double") else F.lit(False)
+        x, distinct_of = F.when(~token, x), c
+        named = {"true_null": F.count_if(c.isNull()), "token": F.count_if(token), "nan": F.count_if(token), "suspicious": F.count_if(x.isin(*[float(v) for v in SUSPICIOUS if "-" not in v[1:]]))}
+    else:
+        t = F.trim(s)
+        v, token = _value(name, kind)
+        distinct_of = v
+        named = {"true_null": F.count_if(s.isNull()), "length": F.avg(F.length(v)), "length_std": F.stddev_pop(F.length(v)), "tokens": F.avg(F.floor(F.length(v) / 4))}
+        if kind == "string":
+            x = v.try_cast("double")
+            x = F.when(~F.isnan(x), x)
+            named |= {
+                "empty": F.count_if(s == ""), "whitespace": F.count_if((s != "") & (t == "")), "token": F.count_if(token), "suspicious": F.count_if(v.isin(*SUSPICIOUS)),
+                "integers": F.count_if(v.rlike(INTEGER)), "floats": F.count_if(v.rlike(FLOAT)), "dates": F.count_if(v.rlike(DATE)), "timestamps": F.count_if(v.rlike(TIMESTAMP)),
+                "booleans": F.count_if(F.lower(v).isin("true", "false", "yes", "no", "t", "f", "y", "n")), "uuids": F.count_if(F.length(v) - F.length(F.replace(v, F.lit("-"), F.lit(""))) == 4),
+            }
+        else:
+            x = None
+    if x is not None:
+        finite = F.when(F.abs(x) != float("inf"), x)
+        named |= {
+            "numeric": F.count(x), "min": F.min(x), "max": F.max(x), "mean": F.avg(finite), "std": F.stddev_samp(finite), "zeros": F.count_if(x == 0), "negative": F.count_if(x < 0),
+            "inf": F.count_if(F.abs(x) == float("inf")), "skew": F.skewness(finite), "kurtosis": F.kurtosis(finite),
+        }
+    if not exact:  # exact ones are counted with the modes
+        named["distinct"] = F.approx_count_distinct(distinct_of, 0.02)
+    named["signature"] = F.bit_xor(F.xxhash64(F.coalesce(s, F.lit("\0")), F.xxhash64(*_rowkey(name))))
     return [f.alias(f"{name}\0{k}") for k, f in named.items()]
 
 
+#: what a column's kind does not count
+_ABSENT = dict.fromkeys(("true_null", "empty", "whitespace", "token", "suspicious", "numeric", "zeros", "negative", "inf", "nan", "integers", "floats", "dates", "timestamps", "booleans", "uuids", "distinct"), 0) | dict.fromkeys(
+    ("min", "max", "mean", "std", "skew", "kurtosis", "length", "length_std", "tokens")
+)
+
+
 def _rowkey(name: str) -> list[Column]:
     """The rest of the row makes a signature depend on where a value stands; set by profile()."""
     return [F.col("_row")]
@@ -87,7 +119,11 @@ def profile(df: DataFrame, exact: bool | None = None) -> list[ColumnProfile]:
     flat = flat.withColumn("_row", F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in names]))
     kinds = dict(flat.dtypes)
     row = flat.agg(F.count("*").alias("_n"), *[f for c in names for f in _stats(c, kinds[c], exact)]).first().asDict()
-    modes = _mode_counts(flat, names) if exact else {}
+    modes = {}
+    if exact:
+        counted = {c: (n, most) for c, n, most in _value_counts(flat, kinds)}
+        row |= {f"{c}\0distinct": counted.get(c, (0, 0))[0] for c in names}
+        modes = {c: most for c, (_, most) in counted.items()}
     out = [_column(c, kinds[c], row, modes) for c in names]
     for i, a in enumerate(out):
         twins = [b.name for b in out[:i] if row[f"{a.name}\0signature"] == row[f"{b.name}\0signature"] and row["_n"]]
@@ -95,15 +131,16 @@ def profile(df: DataFrame, exact: bool | None = None) -> list[ColumnProfile]:
     return out
 
 
-def _mode_counts(df: DataFrame, names: list[str]) -> dict[str, int]:
-    """The count of each column's most frequent value: values of all columns are counted in one shuffle."""
-    pairs = F.array(*[F.struct(F.lit(c).alias("c"), F.xxhash64(F.trim(F.col(f"`{c}`").cast("string"))).alias("h"), (F.trim(F.col(f"`{c}`").cast("string")) != "").alias("ok")) for c in names])
-    counts = df.select(F.explode(pairs).alias("p")).where("p.ok").groupBy("p.c", "p.h").agg(F.count("*").alias("n"))
-    return dict(counts.groupBy("c").agg(F.max("n")).collect())
+def _value_counts(df: DataFrame, kinds: dict[str, str]) -> list[tuple[str, int, int]]:
+    """[(column, distinct values, count of the most frequent one)]: the values of all columns are counted in one shuffle,
+    combined before it."""
+    pairs = F.array(*[F.when(_value(c, k)[0].isNotNull(), F.struct(F.lit(c).alias("c"), F.xxhash64(_value(c, k)[0]).alias("h"))) for c, k in kinds.items() if c != "_row"])
+    counts = df.select(F.explode(F.array_compact(pairs)).alias("p")).groupBy("p.c", "p.h").agg(F.count("*").alias("n"))
+    return [tuple(r) for r in counts.groupBy("c").agg(F.count("*"), F.max("n")).collect()]
 
 
 def _column(name: str, kind: str, row: dict, modes: dict[str, int]) -> ColumnProfile:
-    g = {k.split("\0")[1]: v for k, v in row.items() if k.startswith(f"{name}\0")}
+    g = _ABSENT | {k.split("\0")[1]: v for k, v in row.items() if k.startswith(f"{name}\0")}
     n = row["_n"]
     missing = {k: g[k] for k in ("true_null", "empty", "whitespace", "token", "suspicious")}
     gone = sum(missing[k] for k in ("true_null", "empty", "whitespace", "token"))

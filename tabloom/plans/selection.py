@@ -198,6 +198,38 @@ def f2_materialise(made: DataFrame, features: list[Feature]) -> list[Verdict]:
 # ---- Gram matrices ---------------------------------------------------------------------------------------------------
 
 
+def _cell_grams(rows: DataFrame, columns: list[str], keys: list[str]) -> list[tuple[int, tuple[int, ...], np.ndarray]]:
+    """[(first key, other keys, X'X)] with X = [1, columns]. Each task multiplies its Arrow batches and keeps one matrix for
+    each cell; the tasks' matrices are summed by cell before they reach the driver. So wide sets of candidates cost matrix
+    products and not thousands of aggregate expressions."""
+    import pyarrow as pa
+
+    width = len(columns) + 1
+
+    def multiply(batches):
+        sums: dict[tuple, np.ndarray] = {}
+        for b in batches:
+            x = np.column_stack([np.ones(b.num_rows), *[b.column(len(keys) + i).to_numpy(zero_copy_only=False) for i in range(len(columns))]])
+            cell = np.column_stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(len(keys))])
+            names, at = np.unique(cell, axis=0, return_inverse=True)
+            for k, name in enumerate(names):
+                part = x[at.ravel() == k]
+                sums[tuple(name)] = sums.get(tuple(name), 0.0) + part.T @ part
+        yield pa.RecordBatch.from_arrays([pa.array([list(map(int, k)) for k in sums], pa.list_(pa.int64())), pa.array([m.tobytes() for m in sums.values()], pa.binary())], names=["cell", "m"])
+
+    def add(batches):
+        sums: dict[tuple, np.ndarray] = {}
+        for b in batches:
+            for cell, m in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                sums[tuple(cell)] = sums.get(tuple(cell), 0.0) + np.frombuffer(m)
+        yield pa.RecordBatch.from_arrays([pa.array([list(k) for k in sums], pa.list_(pa.int64())), pa.array([m.tobytes() for m in sums.values()], pa.binary())], names=["cell", "m"])
+
+    schema = "cell array<bigint>, m binary"
+    each = rows.select(*[F.col(k).cast("bigint") for k in keys], *columns).mapInArrow(multiply, schema)
+    found = each.repartition("cell").mapInArrow(add, schema).collect()  # one matrix a cell
+    return [(c[0], tuple(c[1:]), np.frombuffer(bytes(m)).reshape(width, width)) for c, m in found]
+
+
 class Grams:
     """Sums of products of [1, candidates..., target] by row bucket and by the fold of each seed."""
 
@@ -214,15 +246,7 @@ class Grams:
         bucket = F.pmod(F.xxhash64(F.lit(-1), *[F.col(k) for k in keys]), F.lit(BUCKETS))
         # centred and scaled, so that sums of squares keep their precision
         ready = base.select(*[((F.col(f"_{i}") - float(self.mean[i])) / float(self.scale[i])).alias(f"_{i}") for i in range(p)], F.col(f"_{p}"), bucket.alias("_b"), *[fold(s).alias(f"_f{s}") for s in range(seeds)])
-        cols = [F.lit(1.0), *[F.col(f"_{i}") for i in range(p + 1)]]
-        pairs = [(i, j) for i in range(p + 2) for j in range(i, p + 2)]
-        rows = ready.groupBy("_b", *[f"_f{s}" for s in range(seeds)]).agg(*[F.sum(cols[i] * cols[j]) for i, j in pairs]).collect()  # BUCKETS x folds^seeds rows
-        self.cells = []
-        for r in rows:
-            g = np.zeros((p + 2, p + 2))
-            for (i, j), v in zip(pairs, r[1 + seeds :], strict=True):
-                g[i, j] = g[j, i] = v or 0.0
-            self.cells.append((r[0], tuple(r[1 : 1 + seeds]), g))
+        self.cells = _cell_grams(ready, [f"_{i}" for i in range(p + 1)], ["_b", *[f"_f{s}" for s in range(seeds)]])
         self.p = p
 
     def total(self, keep=lambda bucket, folds: True) -> np.ndarray:
