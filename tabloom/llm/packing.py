@@ -25,6 +25,7 @@ import bisect
 import re
 import unicodedata
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -111,12 +112,18 @@ class WordIds:
         return [self.whole(t) if runs is None else b"".join([known[r] for r in runs]) for t, runs in zip(texts, split, strict=True)]
 
 
+@lru_cache(1)
+def word_ids(path: str) -> WordIds:
+    """One for each worker process, so that what it learned serves all its tasks."""
+    return WordIds(path)
+
+
 def pieces(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", capacity: int = CAPACITY, key: str = "doc_id") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): each document's ids with the closing id, cut at ``capacity``."""
     kind = dict(docs.dtypes)[key]
 
     def make():
-        words, close = WordIds(public_vocabulary(vocabulary)), np.asarray([CLOSING_ID], "<u4").tobytes()
+        words, close = word_ids(public_vocabulary(vocabulary)), np.asarray([CLOSING_ID], "<u4").tobytes()
 
         def apply(rows: dict) -> dict:
             out: dict[str, list] = {"doc_id": [], "piece": [], "start": [], "length": [], "ids_crc32": []}
