@@ -250,16 +250,22 @@ class Counter:
         return self.direct(head) if n is None else self.direct(head) + n + self.direct(tail)
 
 
+@lru_cache(1)
+def counter(path: str) -> Counter:
+    """One for each worker process, so that its transitions serve all its tasks."""
+    return Counter(path)
+
+
 def count_tokens(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", limit: int = LIMIT, key: str = "doc_id") -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) of every row of docs; ``vocabulary`` names a byte-level BPE file."""
     kind = dict(docs.dtypes)[key]
 
     def make():
-        counter = Counter(public_vocabulary(vocabulary))
+        count = counter(public_vocabulary(vocabulary)).count
 
         def apply(rows: dict) -> dict:
             texts = [t or "" for t in rows["text"]]
-            tokens = [counter.count(t) for t in texts]
+            tokens = [count(t) for t in texts]
             return {"doc_id": rows[key], "n_bytes": [len(t.encode()) for t in texts], "n_tokens": tokens, "over_limit": [n > limit for n in tokens]}
 
         return apply
