@@ -2,13 +2,16 @@
 
 Lexicon. From labelled rows (at most TRAIN_ROWS, chosen by a hash of the id; equal texts count once): words, and word beginnings for inflected
 stems, that MIN_SHARE of the toxic documents have and whose log odds against the clean ones reach MIN_ODDS. There are at
-most 1 / MIN_SHARE times the words of a document of them, whatever the corpus. Of a word and its beginnings the one with
-the better odds stays.
+most 1 / MIN_SHARE times the words of a document of them, whatever the corpus. Of a word and its beginnings the one that
+tells most stays.
 
 Matching. The Levenshtein automaton of the allowed distance (0 under 5 letters, 1 up to 8, 2 beyond) runs on all terms at
 once: a state is the set of (trie node, edits so far), intersecting automaton and trie, and is made deterministic when
 first reached. A stem matches when it is the start of a word. Most words reach the empty state after a few letters.
 
+Density. A unit counts for a document of the lexicon's statistics, and a match for its score, by how large a share of the
+words it is: in a long text some chance matches are nothing, in a short one they are much.
+
 Context. A match counts as quoted if quotation marks open around it or half of the marks in its window are quotes; quoted
 matches, exact and misspelled ones have weights of their own, learned as log likelihood ratios of their presence in toxic
 and clean rows, as has the number of matches in a window. The score is the logistic function of the prior and the weights.
@@ -29,8 +32,10 @@ from pyspark.sql import functions as F
 
 from .common import learn_rows, map_rows, table, work_table
 
-TRAIN_ROWS, MIN_SHARE, MIN_ODDS, SHRINK = 30_000, 0.03, 3.0, 200.0
+TRAIN_ROWS, MIN_SHARE, MIN_ODDS, SHRINK = 30_000, 0.03, 3.0, 50.0
 THRESHOLD, WINDOW = 0.3, 12
+#: one in so many words: what makes a unit count at all, and the bounds of the density classes
+UNIT_DENSITY, DENSITIES = 300, (400, 150, 60)
 STEMS = range(4, 8)
 _EDGE = "\"'“”„«»‹›‘’()[]{}<>.,;:!?…-–—*_~`"
 _QUOTES = "\"“”„«»‹›"
@@ -138,9 +143,14 @@ class Matcher:
         return [(n, i, e) for n, run in enumerate(runs) if run in hits for i, e in hits[run]] if hits else []
 
 
-def features(text: str | None, matcher: Matcher) -> set[tuple[int, int]]:
-    """(term, kind) of the matches: kind 0 exact, 1 misspelled, 2 quoted, 3 masked (misspelled with other characters than
-    letters, or with letters thrice in a row); (-1, c) for c matches but plainly misspelled ones in one window, 3 at most."""
+def _density(count: int, words: int) -> int:
+    """The share of the words in four classes."""
+    return sum(count * per > words for per in DENSITIES)
+
+
+def features(text: str | None, matcher: Matcher) -> set[tuple[int, int, int]]:
+    """(term, kind, density class) of the matches: kind 0 exact, 1 misspelled, 2 quoted, 3 masked (misspelled with other characters than
+    letters, or with letters thrice in a row); (-1, c, 0) for c matches but plainly misspelled ones in one window, 3 at most."""
     if not text:
         return set()
     lowered = text.lower()
@@ -148,7 +158,9 @@ def features(text: str | None, matcher: Matcher) -> set[tuple[int, int]]:
     if not found:
         return set()
     runs = lowered.split()
-    out, opened = set(), False
+    out: set[tuple[int, int, int]] = set()
+    counts: Counter = Counter()
+    opened = False
     state, at = [], {n for n, *_ in found}
     for n, run in enumerate(runs):
         if n in at:
@@ -161,13 +173,13 @@ def features(text: str | None, matcher: Matcher) -> set[tuple[int, int]]:
     firm = sorted({n for n, _, kind in kinds if kind != 1})
     for n, i, kind in kinds:
         if quoted[n] and not opened:  # marks that never close are no quotation
-            out.add((i, 2))
+            counts[i, 2] += 1
             continue
-        out.add((i, kind))
+        counts[i, kind] += 1
         if kind != 1:
             near = bisect.bisect_right(firm, n + WINDOW) - bisect.bisect_left(firm, n - WINDOW)
-            out.add((-1, min(3, near)))
-    return out
+            out.add((-1, min(3, near), 0))
+    return out | {(i, kind, _density(c, len(runs))) for (i, kind), c in counts.items()}
 
 
 def _masked(word: str) -> bool:
@@ -175,7 +187,7 @@ def _masked(word: str) -> bool:
 
 
 class Scorer:
-    def __init__(self, terms: list[tuple[str, bool]], prior: float, weights: dict[tuple[int, int], float]) -> None:
+    def __init__(self, terms: list[tuple[str, bool]], prior: float, weights: dict[tuple[int, int, int], float]) -> None:
         self.terms, self.prior, self.weights = terms, prior, weights
         self.matcher: Matcher | None = None
 
@@ -191,8 +203,19 @@ class Scorer:
 
 
 def _units(text: str) -> set[tuple[str, bool]]:
-    words = {w for w in (r.strip(_EDGE) for r in set(text.lower().split())) if w}
-    return {(w, False) for w in words} | {(w[:n], True) for w in words for n in STEMS if len(w) >= n}
+    """The words and word beginnings that are a share of the text's words."""
+    runs = text.lower().split()
+    words: Counter = Counter()
+    for r, n in Counter(runs).items():
+        words[r.strip(_EDGE)] += n
+    units: Counter = Counter()
+    for w, n in words.items():
+        if w:
+            units[w, False] += n
+            for k in STEMS:
+                if len(w) >= k:
+                    units[w[:k], True] += n
+    return {u for u, n in units.items() if n * UNIT_DENSITY >= len(runs)}
 
 
 def learn(labelled: DataFrame, train_rows: int = TRAIN_ROWS, min_share: float = MIN_SHARE, min_odds: float = MIN_ODDS) -> Scorer:
@@ -223,7 +246,8 @@ def learn(labelled: DataFrame, train_rows: int = TRAIN_ROWS, min_share: float =
     good = counted(rows.where("toxic = 0").select("text"), set(bad))
     odds = {u: math.log((n + 0.5) / (n_bad - n + 0.5)) - math.log((good.get(u, 0) + 0.5) / (n_good - good.get(u, 0) + 0.5)) for u, n in bad.items()}
     terms: list[tuple[str, bool]] = []
-    for unit in sorted((u for u in odds if odds[u] >= min_odds), key=lambda u: (-odds[u], u[1], -len(u[0]), u[0])):
+    # of a stem and its words the one that tells more toxic documents stays; of equals whole words, then longer stems
+    for unit in sorted((u for u in odds if odds[u] >= min_odds), key=lambda u: (-round(bad[u] * odds[u], 6), u[1], -len(u[0]), u[0])):
         if not any(unit[0].startswith(t) or t.startswith(unit[0]) for t, _ in terms):
             terms.append(unit)
     if not terms:
@@ -236,29 +260,30 @@ def learn(labelled: DataFrame, train_rows: int = TRAIN_ROWS, min_share: float =
             c: Counter = Counter()
             for t, toxic in zip(batch["text"], batch["toxic"], strict=True):
                 found = features(t, matcher)
-                c.update((toxic, *f) for f in found or {(-2, 0)})
-            return {"toxic": [k[0] for k in c], "term": [k[1] for k in c], "kind": [k[2] for k in c], "n": list(c.values())}
+                c.update((toxic, *f) for f in found or {(-2, 0, 0)})
+            return {"toxic": [k[0] for k in c], "term": [k[1] for k in c], "kind": [k[2] for k in c], "density": [k[3] for k in c], "n": list(c.values())}
 
         return apply
 
-    per = map_rows(rows, make_found, "toxic int, term int, kind int, n bigint").groupBy("toxic", "term", "kind").agg(F.sum("n").alias("n"))
-    seen = {(t, i, k): n for t, i, k, n in per.collect()}  # a few rows for each term
-    none = lambda t: seen.get((t, -2, 0), 0)
+    per = map_rows(rows, make_found, "toxic int, term int, kind int, density int, n bigint").groupBy("toxic", "term", "kind", "density").agg(F.sum("n").alias("n"))
+    seen = {tuple(r[:4]): r[4] for r in per.collect()}  # a few rows for each term
+    none = lambda t: seen.get((t, -2, 0, 0), 0)
     prior = math.log((none(1) + 0.5) / (none(0) + 0.5))  # documents without a match
     weights = {}
-    total = lambda t, k: sum(n for (u, i, kind), n in seen.items() if u == t and kind == k and i >= 0) / len(terms)
-    for k in range(4):  # each term's rates are shrunk towards those of all terms, as most misspellings are rare
-        b_all, g_all = (total(1, k) + 0.05) / n_bad, (total(0, k) + 0.05) / n_good
-        for i in range(len(terms)):
-            b, g = seen.get((1, i, k), 0), seen.get((0, i, k), 0)
-            weights[i, k] = math.log((b + SHRINK * b_all) / (n_bad + SHRINK)) - math.log((g + SHRINK * g_all) / (n_good + SHRINK))
-            if k == 3 and not b and not g:  # a masked term that was never seen counts half of the term itself
-                weights[i, k] = 0.5 * max(0.0, weights[i, 0])
-            if k == 2 and not total(1, 2) and not total(0, 2):
-                weights[i, k] = 0.0
-    for c in range(1, 4):
-        b, g = seen.get((1, -1, c), 0), seen.get((0, -1, c), 0)
-        weights[-1, c] = math.log((b + 0.5) / (n_bad + 1)) - math.log((g + 0.5) / (n_good + 1)) if g + b > 20 and g else 0.0
+    total = lambda t, k, d: sum(n for (u, i, kind, e), n in seen.items() if u == t and kind == k and e == d and i >= 0) / len(terms)
+    for k in range(4):
+        for d in range(len(DENSITIES) + 1):  # each term's rates are shrunk towards those of all terms
+            b_all, g_all = (total(1, k, d) + 0.05) / n_bad, (total(0, k, d) + 0.05) / n_good
+            for i in range(len(terms)):
+                b, g = seen.get((1, i, k, d), 0), seen.get((0, i, k, d), 0)
+                weights[i, k, d] = math.log((b + SHRINK * b_all) / (n_bad + SHRINK)) - math.log((g + SHRINK * g_all) / (n_good + SHRINK))
+                if k == 3 and not b and not g:  # a masked term that was never seen counts half of the term itself
+                    weights[i, k, d] = 0.5 * max(0.0, weights[i, 0, d])
+                if k == 2 and not total(1, 2, d) and not total(0, 2, d):
+                    weights[i, k, d] = 0.0
+    ratio = lambda c: math.log((seen.get((1, -1, c, 0), 0) + 0.5) / (n_bad + 1)) - math.log((seen.get((0, -1, c, 0), 0) + 0.5) / (n_good + 1))
+    for c in range(1, 4):  # what company adds to a single match, which its own weight tells
+        weights[-1, c, 0] = max(0.0, ratio(c) - ratio(1)) if c > 1 else 0.0
     return Scorer(terms, prior, weights)
 
 
