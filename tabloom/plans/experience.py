@@ -35,7 +35,7 @@ class ExperienceStore:
 
     def write(self, cases: list[Case]) -> None:
         now = datetime.now(timezone.utc)
-        rows = [asdict(c) | {"at": now, "id": uuid.uuid4().hex, "identity": c.identity or f"{c.task}:{c.op}:{sorted(c.meta.items())}"} for c in cases]
+        rows = [asdict(c) | {"gain": float(c.gain), "cost": float(c.cost), "meta": {k: float(v) for k, v in c.meta.items()}, "at": now, "id": uuid.uuid4().hex, "identity": c.identity or f"{c.task}:{c.op}:{sorted(c.meta.items())}"} for c in cases]
         names = [f.name for f in self.spark.createDataFrame([], SCHEMA).schema]
         self.spark.createDataFrame([tuple(r[n] for n in names) for r in rows], SCHEMA).write.mode("append").parquet(self.path)
 

@@ -172,6 +172,7 @@ def deterministic_leaks(df: DataFrame, columns: list[str], target: str) -> list[
             F.approx_count_distinct(F.when(both, f), 0.02).alias(f"{c}\0df"),
             F.approx_count_distinct(F.when(both, t), 0.02).alias(f"{c}\0dt"),
             F.avg(F.when(both & (F.length(t) >= 1), f.contains(t).cast("double"))).alias(f"{c}\0inside"),
+            F.count_if(both & (num(F.col(c)).isNull() | num(F.col(target)).isNull())).alias(f"{c}\0texts"),
             F.min(residue).alias(f"{c}\0residue"),
             F.max(residue).alias(f"{c}\0other"),
             F.min(F.when(both, F.length(t))).alias(f"{c}\0least"),
@@ -179,14 +180,14 @@ def deterministic_leaks(df: DataFrame, columns: list[str], target: str) -> list[
     g = df.agg(*aggregates).first().asDict()
     out = []
     for c in columns:
-        v = {k: g[f"{c}\0{k}"] for k in ("n", "copy", "inverse", "df", "dt", "inside", "residue", "other", "least")}
+        v = {k: g[f"{c}\0{k}"] for k in ("n", "copy", "inverse", "df", "dt", "inside", "texts", "residue", "other", "least")}
         if v["n"] < 4:
             continue
         if (v["copy"] or 0) >= 0.99:
             out.append(LeakFinding(c, "target_copy", "HARD_REJECT", "L5", v["copy"]))
         elif (v["inverse"] or 0) >= 0.99:
             out.append(LeakFinding(c, "inverted_target", "HARD_REJECT", "L5", v["inverse"]))
-        elif v["df"] / v["n"] >= 0.8 and v["dt"] / v["n"] >= 0.8 and (share := _bijection(df, _present(F.col(c)), t)) >= 0.9:
+        elif v["texts"] == v["n"] and v["df"] / v["n"] >= 0.8 and v["dt"] / v["n"] >= 0.8 and (share := _bijection(df, _present(F.col(c)), t)) >= 0.9:
             out.append(LeakFinding(c, "bijection", "HARD_REJECT", "L5", share))
         elif (v["inside"] or 0) >= 0.95 and v["dt"] > 1 and (v["residue"] == v["other"] or (v["least"] or 0) >= 3):
             out.append(LeakFinding(c, "embedded_target", "HARD_REJECT", "L5", v["inside"]))
