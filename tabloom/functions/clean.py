@@ -40,6 +40,8 @@ def dt(c: Column | str, kind: str = "timestamp") -> Column:
 def md5_bucket(text: Column, n: int) -> Column:
     """md5 of the text as an unsigned 128-bit number modulo n: four 32-bit digits, folded from the left."""
     digest = F.md5(text)
+    if n <= 1 << 32 and n & (n - 1) == 0:  # a power of two: the last digits decide
+        return F.conv(F.substring(digest, 25, 8), 16, 10).cast("bigint").bitwiseAND(F.lit(n - 1).cast("bigint"))
     acc = F.lit(0).cast("bigint")
     for i in range(4):
         digit = F.conv(F.substring(digest, 8 * i + 1, 8), 16, 10).cast("bigint")
@@ -49,7 +51,7 @@ def md5_bucket(text: Column, n: int) -> Column:
 
 def word_tokens(t: Column) -> Column:
     """Lower-cased runs of letters, digits and underscores, in any script."""
-    return F.regexp_extract_all(F.lower(t), F.lit(r"(?U)\w+"), F.lit(0))
+    return F.regexp_extract_all(F.lower(t), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
 
 
 def char_ngrams(t: Column, n: int) -> Column:

@@ -27,13 +27,17 @@ def tokens(t: Column, ngram: int = 1) -> Column:
 
 
 def _hashing(t: Column, n_features: int = 16, ngram: int = 1, seed: int = 0) -> Column:
-    """Each token adds +1 or -1 to its bucket; the array is folded within the row, so nothing is exploded or shuffled."""
-    signed = F.transform(
-        tokens(F.coalesce(t, F.lit("")), ngram),
-        lambda w: F.struct(md5_bucket(F.concat(F.lit(f"{seed}:"), w), n_features).alias("b"), (1 - 2 * md5_bucket(F.concat(F.lit(f"s:{seed}:"), w), 2)).alias("s")),
-    )
-    zero = F.array_repeat(F.lit(0).cast("bigint"), n_features)
-    return F.aggregate(signed, zero, lambda acc, x: F.transform(acc, lambda v, i: v + F.when(i == x["b"], x["s"]).otherwise(F.lit(0))))
+    """Each token adds +1 or -1 to its bucket. Tokens become signed bucket numbers, and a number is counted by the drop in
+    length when it is removed, which is a tight loop over integers; nothing is exploded or shuffled."""
+    bucket = lambda w: md5_bucket(F.concat(F.lit(f"{seed}:"), w), n_features) + 1
+    sign = lambda w: 1 - 2 * md5_bucket(F.concat(F.lit(f"s:{seed}:"), w), 2)
+    signed = F.transform(tokens(F.coalesce(t, F.lit("")), ngram), lambda w: bucket(w) * sign(w))
+
+    def counts(s: Column) -> Column:
+        removed = [(F.size(F.array_remove(s, F.lit(-b).cast("bigint"))) - F.size(F.array_remove(s, F.lit(b).cast("bigint")))).cast("bigint") for b in range(1, n_features + 1)]
+        return F.array(*removed)
+
+    return F.transform(F.array(signed), counts)[0]
 
 
 _measure("text_length_chars", lambda t: F.length(t), "count")
@@ -61,12 +65,12 @@ def apply_tfidf(df: DataFrame, columns: list[str], params: dict, state: list[tup
     if not state:
         return df.withColumn(out, F.array().cast("array<double>"))
     base = df.withColumn("_w", words)
-    # only vocabulary tokens are looked at again; each is counted by the drop in length when it is removed
+    # tokens become vocabulary numbers, and a number is counted by the drop in length when it is removed
     known = F.array(*[F.lit(w) for w, _ in state])
-    hits = base.withColumn("_h", F.filter("_w", lambda x: F.array_contains(known, x)))
-    count = lambda w: F.size("_h") - F.size(F.array_remove("_h", w))
-    value = [F.when(F.size("_w") > 0, count(w) / F.size("_w") * idf).otherwise(F.lit(0.0)) for w, idf in state]
-    return hits.withColumn(out, F.when(F.col("_w").isNull(), F.array_repeat(F.lit(0.0), len(state))).otherwise(F.array(*value))).drop("_w", "_h")
+    base = base.withColumn("_n", F.size("_w")).withColumn("_p", F.transform("_w", lambda x: F.array_position(known, x)))
+    count = lambda i: F.col("_n") - F.size(F.array_remove("_p", F.lit(i).cast("bigint")))
+    value = [F.when(F.col("_n") > 0, count(i) / F.col("_n") * idf).otherwise(F.lit(0.0)) for i, (_, idf) in enumerate(state, 1)]
+    return base.withColumn(out, F.when(F.col("_w").isNull(), F.array_repeat(F.lit(0.0), len(state))).otherwise(F.array(*value))).drop("_w", "_n", "_p")
 
 
 for _name, _ngram in (("tfidf_word", 1), ("tfidf_char", 3)):

@@ -323,7 +323,7 @@ _fitted(
 
 # ---- text ------------------------------------------------------------------------------------------------------------
 
-_TOKENS = r"regexp_extract_all(lower(t), '[\p{L}\p{N}\p{M}_]+')"
+_TOKENS = r"regexp_extract_all(lower(t), '[\p{L}\p{N}_]+')"
 _scalar("text_length_chars", "texts", lambda: [txt("t")], "length(t)::INT", rounds=False)
 _scalar("text_length_tokens", "texts", lambda: [txt("t")], f"len({_TOKENS})::INT", rounds=False)
 _scalar("text_digit_ratio", "texts", lambda: [txt("t")], r"len(regexp_extract_all(t, '\p{Nd}')) / greatest(length(t), 1)")
@@ -359,7 +359,7 @@ SELECT k, i, round(tf * idf, 6) AS v FROM c JOIN v USING (w)""",
     )
 
 
-_tfidf("tfidf_word", r"regexp_extract_all(lower({c}), '[\p{{L}}\p{{N}}\p{{M}}_]+')", "t", "texts")
+_tfidf("tfidf_word", r"regexp_extract_all(lower({c}), '[\p{{L}}\p{{N}}_]+')", "t", "texts")
 _tfidf("tfidf_char", "list_transform(range(1, greatest(1, length({c}) - 1)), lambda i: substr(lower({c}), i, 3))", "n", "parts_c")
 
 # ---- dimensionality, cluster, model-informed: no SQL form, tested against numpy -----------------------------------------
