@@ -5,6 +5,11 @@ the prefix. Each distinct URL is expanded into the (host suffix, path prefix) ke
 table of 256-bit blocks joined by block number, passes possible hits; an equi-join with the list drops false positives;
 the longest entry wins (rules before plain list entries, then code point order). URLs no entry fits get ``default``.
 
+Rules are compared with host and path as they are written. Plain entries, and URLs when they are looked up among them,
+are made canonical first (``canonical_host``, ``canonical_path``): user info, port and trailing dots go, percent-encoded
+letters, digits, ``-._~`` and UTF-8 bytes are decoded once, dot segments are resolved. An empty path stays empty, so an
+entry of path ``/`` does not fit it; names in punycode and in letters are not the same host.
+
 The filter takes 16 bits an entry and is broadcast only while the list is under BROADCAST_ROWS; a longer list is joined
 by shuffling. The number of keys of a URL is bounded by its labels times the distinct prefix lengths of the list.
 
@@ -21,7 +26,7 @@ from .common import small, table, work_table
 
 #: host, path prefix, verdict: the production rules
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
-#: canonical URLs listed as unwanted (an advertising tracker): they decide where no rule fits
+#: URLs listed as unwanted (an advertising tracker): they decide where no rule fits. A longer list comes as a table, see ``unwanted``
 LISTED = (("ads-track.example.com", "/", "block"),)
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORDS, _SALT = 4, 7919
@@ -36,6 +41,44 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
+def _decoded(part: Column) -> Column:
+    """``part`` with its percent-encoded unreserved characters and UTF-8 bytes decoded once; other escapes in capitals."""
+    held = F.regexp_replace(part, r"%(?!2[DdEe]|3[0-9]|[46][1-9A-Fa-f]|[57][0-9Aa]|5[Ff]|7[Ee]|[89A-Fa-f][0-9A-Fa-f])", "%25")
+    out = F.url_decode(F.replace(held, F.lit("+"), F.lit("%2B")))
+    for x in "abcdef":
+        out = F.regexp_replace(out, f"%([0-7]){x}", f"%$1{x.upper()}")
+    return F.when(F.contains(part, F.lit("%")), out).otherwise(part)
+
+
+def canonical_host(host: Column) -> Column:
+    """``host`` without user info, port and trailing dots, decoded, ASCII letters small."""
+    name = F.translate(_decoded(F.regexp_replace(host, r"(?s)^.*@", "")), UPPER, LOWER)
+    return F.regexp_replace(F.regexp_replace(name, r":[0-9]*$", ""), r"\.+$", "")
+
+
+def canonical_path(path: Column) -> Column:
+    """``path`` decoded, with dot segments resolved."""
+    path = _decoded(path)
+    parts = F.split(path, "/", -1)
+    nothing = F.array().cast("array<string>")
+    kept = F.aggregate(
+        F.slice(parts, 2, F.size(parts)), nothing,
+        lambda out, x: F.when(x == ".", out).when(x == "..", F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0)))).otherwise(F.array_append(out, x)),
+    )
+    # a dot segment at the end names the folder
+    ends = F.when(path.rlike(r"/\.\.?$"), F.array_append(kept, F.lit(""))).otherwise(kept)
+    return F.when(path.rlike(r"/\.\.?(/|$)"), F.concat(F.lit("/"), F.array_join(ends, "/"))).otherwise(path)
+
+
+def unwanted(urls: DataFrame, verdict: str = "block") -> DataFrame:
+    """(host, path, verdict, rank): the plain entries of a table of unwanted URLs (column ``url``); rows without a host go.
+
+    For use beside rules: ``listing(spark, listed=()).unionByName(unwanted(urls))``."""
+    parts = urls.select(host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    out = parts.select(canonical_host(F.col("host")).alias("host"), canonical_path(F.col("path")).alias("path")).where("host != ''").distinct()
+    return out.select("host", "path", F.lit(verdict).alias("verdict"), F.lit(0).alias("rank"))
+
+
 def listing(spark: SparkSession, rules=RULES, listed=LISTED) -> DataFrame:
     """(host, path, verdict, rank): rank 1 for rules, 0 for plain entries."""
     rows = [(*r, 1) for r in rules] + [(*r, 0) for r in listed]
@@ -63,26 +106,31 @@ def bloom_blocks(entries: DataFrame, n_blocks: int) -> DataFrame:
     return keyed.groupBy("block").agg(*[F.bit_or(f"m{j}").alias(f"m{j}") for j in range(_WORDS)])
 
 
-def _key(host: Column, path: Column) -> Column:
-    return F.concat(host, F.lit("\n"), path)
+def _key(rank: Column, host: Column, path: Column) -> Column:
+    return F.concat(rank.cast("string"), F.lit("\n"), host, F.lit("\n"), path)
 
 
 def url_verdicts(urls: DataFrame, entries: DataFrame) -> DataFrame:
     """(url, entry, verdict, rank) for the distinct non-null URLs that an entry fits; entry is host and path."""
-    entries = work_table(entries.dropna(subset=["host", "path", "verdict"]).withColumn("key", _key(F.col("host"), F.col("path"))), "entries")
+    plain = F.col("rank") == 0
+    entries = entries.dropna(subset=["host", "path", "verdict"])
+    entries = entries.withColumns({"host": F.when(plain, canonical_host(F.col("host"))).otherwise(F.col("host")), "path": F.when(plain, canonical_path(F.col("path"))).otherwise(F.col("path"))})
+    entries = work_table(entries.withColumn("key", _key(F.col("rank"), F.col("host"), F.col("path"))), "entries")
     # of equal entries one decides: the strictest
     listed = work_table(entries.groupBy("key").agg(F.max(F.struct("rank", "verdict", "host", "path")).alias("e")), "listed")
     n = listed.count()
     n_blocks = max(1, -(-n * 16 // 256))
-    lengths = sorted(r[0] for r in listed.select(F.length("e.path")).distinct().collect())  # at most the longest path
+    lengths = sorted(tuple(r) for r in listed.select("e.rank", F.length("e.path")).distinct().collect())  # at most the longest path for each rank
     blocks = small(work_table(bloom_blocks(listed, n_blocks), "bloom"))
     labels = F.split(F.col("host"), r"\.", -1)
     each = urls.where(F.col("url").isNotNull()).select("url").distinct()
     each = each.select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).where("host != ''")
+    sides = [F.struct(F.lit(1).alias("rank"), "host", "path"), F.struct(F.lit(0).alias("rank"), canonical_host(F.col("host")).alias("host"), canonical_path(F.col("path")).alias("path"))]
+    each = each.select("url", F.inline(F.array(*sides))).where("host != ''")
     suffixes = F.transform(F.sequence(F.lit(1), F.size("labels")), lambda i: F.array_join(F.slice("labels", i, F.size("labels")), "."))
-    prefixes = F.filter(F.array(*[F.when(F.length("path") >= x, F.substring("path", 1, x)) for x in lengths] or [F.lit(None).cast("string")]), lambda p: p.isNotNull())
-    keys = each.withColumn("labels", labels).select("url", F.explode(suffixes).alias("s"), prefixes.alias("p"))
-    keys = keys.select("url", F.explode(F.transform("p", lambda p: _key(F.col("s"), p))).alias("key"))
+    prefixes = F.filter(F.array(*[F.when((F.col("rank") == r) & (F.length("path") >= x), F.substring("path", 1, x)) for r, x in lengths] or [F.lit(None).cast("string")]), lambda p: p.isNotNull())
+    keys = each.withColumn("labels", labels).select("url", "rank", F.explode(suffixes).alias("s"), prefixes.alias("p"))
+    keys = keys.select("url", F.explode(F.transform("p", lambda p: _key(F.col("rank"), F.col("s"), p))).alias("key"))
     probes = keys.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(n_blocks)))
     hit = None
     for j, m in enumerate(_masks(F.col("key"))):

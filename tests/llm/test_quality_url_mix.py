@@ -158,6 +158,22 @@ def test_url_verdicts_match_brute_force(spark):
     assert got == {i: brute_verdict(u, entries) for i, u in enumerate(URLS)}
 
 
+def test_listed_urls_are_found_in_any_spelling(spark):
+    table = spark.createDataFrame([("http://Bad.net:80/a/b/",), ("https://pills.net/%7Eshop/x",), ("http://é.net/caf%C3%A9",), ("no url",), (None,)], "url string")
+    entries = url_filters.listing(spark, listed=()).unionByName(url_filters.unwanted(table))
+    hits = [
+        "http://bad.net/a/b/c", "http://bad.net:8080/a/b/", "http://user:pw@bad.net/a/b/", "http://m.BAD.net./a/b/?q", "http://bad.net/%61/b/", "http://b%61d.net/a/b/", "http://bad.net/x/.././a/b/", "http://bad.net/a/b/c/..",
+        "http://bad.net/../a/b/.", "http://x.org:80@pills.net/~shop/x+y", "http://é.net/café/1", "http://é.net/caf%c3%a9",
+    ]
+    misses = ["http://bad.net/a%2Fb/", "http://bad.net/a/b/../c", "http://worse-bad.net/a/b/", "http://bad.net@good.net/a/b/", "http://bad.net/a/b", "http://bad.net/a+b/", "http://bad.net/%zz/a/b/", "http://@:80/"]
+    pages = spark.createDataFrame(list(enumerate(hits + misses)), "page_id bigint, url string")
+    got = {r.url: r.verdict for r in url_filters.url_filter(pages, entries).collect()}
+    assert {u for u in hits + misses if got[u] == "block"} == set(hits)
+    # rules see hosts and paths as they are written
+    ruled = url_filters.url_filter(spark.createDataFrame([(1, "http://org:80/"), (2, "http://x.com/a/../de/")], "page_id bigint, url string"), entries)
+    assert [r.rule for r in ruled.collect()] == [None, None]
+
+
 def test_url_filter_with_many_entries_and_with_none(spark):
     many = [(f"h{i}.net", f"/p{i % 7}", "block") for i in range(3000)]
     pages = spark.createDataFrame([(i, f"http://x.h{i}.net/p{i % 5}/z", "") for i in range(4000)], "page_id bigint, url string, html string")
