@@ -33,11 +33,12 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10: of the documents that copies and links connect, the one of the least id stays; of its rows with equal
-    ids, one. Texts without a word belong to no group and stay."""
+    ids, one. Texts without a word belong to no group and stay. Groups are told apart by their roots, as ids may be null
+    or repeat."""
     grouped = ngram_join.jaccard_join(docs)
     kept = grouped.where(F.col("key").isNotNull() & F.col("doc_id").eqNullSafe(F.col("class_id")))
-    # one text for each class, so at most one row for each (id, key) of those that stay
-    kept = work_table(kept.groupBy(F.col("doc_id").alias("_d"), F.col("class_id")).agg(F.min("key").alias("_k")).select("_d", "_k"), "kept")
+    # one text for each class; all its rows here have the class's id
+    kept = work_table(kept.groupBy("root").agg(F.min("key").alias("_k"), F.first("class_id").alias("_d")).select("_d", "_k"), "kept")
     texts = docs.withColumn("_key", ngram_join._key(F.col("text")))
     chosen = texts.join(kept, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")))
     one = chosen.dropDuplicates(["_d", "_k"]).select(*docs.columns)

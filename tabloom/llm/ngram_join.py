@@ -268,8 +268,9 @@ def _key(text: Column) -> Column:
 
 
 def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id") -> DataFrame:
-    """(doc_id, class_id, n_links, key) of every row: class_id is the least id among all documents that links and copies
-    connect, n_links the number of other texts (copies count once) of similarity ``threshold`` or more.
+    """(doc_id, class_id, n_links, key, root) of every row: class_id is the least id among all documents that links and copies
+    connect, n_links the number of other texts (copies count once) of similarity ``threshold`` or more. root is the class
+    itself, the least key of its texts: ids may be null or repeat in other classes, a root does not.
 
     ``threshold`` may be raised; candidates are found for 0.8 and above."""
     if threshold < THRESHOLD:
@@ -313,11 +314,11 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, key: str = "doc_
     classes = firsts.join(roots, "key", "left").join(links, "key", "left").select("key", F.coalesce("root", "key").alias("root"), "doc_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
     classes = work_table(classes, "classes")
     least = classes.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    classes = classes.join(least, "root").select("key", "class_id", "n_links")
+    classes = classes.join(least, "root").select("key", "root", "class_id", "n_links")
     out = members.select("doc_id", "key").join(classes, "key", "left")
     own = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("class_id"))
-    return out.select("doc_id", own.alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), "key")
+    return out.select("doc_id", own.alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), "key", "root")
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join(table(spark, sf_dir, "documents")).drop("key")
+    return jaccard_join(table(spark, sf_dir, "documents")).drop("key", "root")

@@ -155,6 +155,13 @@ def test_one_of_each_group_with_odd_rows(spark, documents, odd):
     assert ids.count("6") == 1 and "7" not in ids and all(str(i) in ids for i in (1, 2, 3, 4, 5, 8))
 
 
+def test_null_and_repeated_ids_keep_unlinked_texts(spark, documents):
+    rows = [(None, "one text of no id"), (None, "quite another without an id"), (5, "first words under five"), (5, "other things under five"), (5, "first words under five")]
+    rows += [(None, "shared by both"), (7, "shared by both"), (9, "shared by both")]
+    kept = Counter((r.doc_id, r.text) for r in corpus_pipeline.keep_one_of_each_group(spark, documents(rows), SF).collect())
+    assert kept == Counter([*rows[:4], (7, "shared by both")])
+
+
 def test_nothing_else_imports_the_subpackage():
     root = Path(__file__).resolve().parents[2]
     for f in (root / "tabloom").rglob("*.py"):
