@@ -178,7 +178,7 @@ def crossfit_target_mean(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query()
 def crossfit_tree_leaf(spark: SparkSession, sf: str) -> DataFrame:
-    return tree_leaf_by_fold(_orders(spark, sf).where("k % 3 = 0").select("k", "x", "p", "y", (F.col("k") % 2).alias("fold")), ["x", "p", "y"], "fold", "leaf").select("k", "leaf")
+    return tree_leaf_by_fold(_orders(spark, sf).select("k", "x", "p", "y", "fold"), ["x", "p", "y"], "fold", "leaf").select("k", "leaf")
 
 
 @_query(f"SELECT round(avg((p - y) * (p - y)), 9) AS brier, round(-avg(y * ln(greatest(1e-15, least(1 - 1e-15, p))) + (1 - y) * ln(1 - greatest(1e-15, least(1 - 1e-15, p)))), 9) AS log_loss FROM {_O}")

@@ -11,6 +11,7 @@ import pyarrow.feather
 import pytest
 from pyspark.sql import functions as F
 
+from tabloom import plan_queries
 from tabloom.operators import get
 from tabloom.plans import codegen, experience, models, problem, report
 from tabloom.plans.features import Feature, FeatureEstimator, FeatureGraph, FeaturePipeline, check_domains, fold_identity
@@ -289,6 +290,13 @@ def test_api_pages_and_guard(spark):
             assert_public(url)
 
 
+def test_each_order_gets_a_leaf_from_other_folds(spark, tmp_path):
+    rows = [(k, float(k * 37 % 101), "FOP"[k % 3], None, "1-URGENT") for k in range(1, 201)]
+    spark.createDataFrame(rows, "o_orderkey bigint, o_totalprice double, o_orderstatus string, o_orderdate timestamp_ntz, o_orderpriority string").write.parquet(str(tmp_path / "orders.parquet"))
+    got = {r.k: r.leaf for r in plan_queries.crossfit_tree_leaf(spark, str(tmp_path)).collect()}
+    assert set(got) == set(range(1, 201)) and None not in got.values()
+
+
 # ---- streams -----------------------------------------------------------------------------------------------------------
 
 
