@@ -103,27 +103,19 @@ def _rowkey(name: str) -> list[Column]:
     return [F.col("_row")]
 
 
-#: up to so many rows distinct values are counted exactly, unless asked otherwise
-EXACT_ROWS = 1_000_000
+def profile(df: DataFrame, exact: bool = True) -> list[ColumnProfile]:
+    """Profiles of all columns: one aggregation over the data and one that counts their values, for tables of any size.
 
-
-def profile(df: DataFrame, exact: bool | None = None) -> list[ColumnProfile]:
-    """Profiles of all columns: one aggregation over the data and one small one for the most frequent values.
-
-    ``exact=False``, the default beyond EXACT_ROWS, sketches distinct counts and leaves the mode share out: exact counts
-    of many columns multiply the rows that are shuffled."""
-    if exact is None:
-        exact = df.select(F.lit(1)).limit(EXACT_ROWS + 1).count() <= EXACT_ROWS
+    ``exact=False`` sketches the distinct counts; the most frequent values are counted all the same."""
     names, kinds = df.columns, dict(df.dtypes)
     flat = df.select(*[F.col(f"`{c}`").cast("string").alias(c) if kinds[c].startswith(("array", "map", "struct", "binary")) else F.col(f"`{c}`") for c in names])
     flat = flat.withColumn("_row", F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in names]))
     kinds = dict(flat.dtypes)
     row = flat.agg(F.count("*").alias("_n"), *[f for c in names for f in _stats(c, kinds[c], exact)]).first().asDict()
-    modes = {}
+    counted = {c: (n, most) for c, n, most in _value_counts(flat, kinds)}
     if exact:
-        counted = {c: (n, most) for c, n, most in _value_counts(flat, kinds)}
         row |= {f"{c}\0distinct": counted.get(c, (0, 0))[0] for c in names}
-        modes = {c: most for c, (_, most) in counted.items()}
+    modes = {c: most for c, (_, most) in counted.items()}
     out = [_column(c, kinds[c], row, modes) for c in names]
     for i, a in enumerate(out):
         twins = [b.name for b in out[:i] if row[f"{a.name}\0signature"] == row[f"{b.name}\0signature"] and row["_n"]]

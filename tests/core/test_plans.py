@@ -84,6 +84,14 @@ def test_profiles(spark):
     assert profile(df.where("false"))[0].rows == 0
 
 
+def test_profiles_of_large_tables_count_values(spark):
+    df = spark.range(1_000_001).selectExpr("CASE WHEN id < 10 THEN 'b' ELSE 'a' END AS near", "concat('u', lpad(id, 9, '0')) AS record_id")
+    by = {p.name: p for p in profile(df)}
+    assert "near_constant" in by["near"].findings and by["near"].mode_share == 999_991 / 1_000_001
+    assert by["record_id"].distinct == 1_000_001 and by["record_id"].semantic == "identifier"
+    assert "near_constant" in profile(df, exact=False)[0].findings
+
+
 def test_tasks(orders):
     by = {p.name: p for p in profile(orders)}
     assert problem.infer_task(orders, "o_orderstatus", by["o_orderstatus"]).kind == "multiclass"
