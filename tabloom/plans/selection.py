@@ -300,6 +300,34 @@ def select_portfolio(g: Grams, size: int = 8) -> list[tuple[int, float]]:
     return chosen
 
 
+def select_features(made: DataFrame, features: list[Feature], target: Column, keys: list[str], size: int = 8) -> tuple[list[tuple[Feature, float]], list[tuple[Feature, float]]]:
+    """(chosen features with their gains, each feature with its best gain in any step): ``select_portfolio`` over any number
+    of features. Every feature is probed beside the chosen ones in each step. Up to BATCH of them need one Gram pass; more
+    need one for each batch and step, of the batch and the chosen ones together."""
+    best_gain = [-math.inf] * len(features)
+    batches = [list(range(i, min(i + BATCH, len(features)))) for i in range(0, len(features), BATCH)]
+    one = Grams(made, features, target, keys) if len(batches) == 1 else None
+    chosen: list[tuple[int, float]] = []
+    while len(chosen) < size:
+        members = [i for i, _ in chosen]
+        gains: dict[int, float] = {}
+        for part in batches:
+            at = part if one else [*members, *[i for i in part if i not in members]]
+            if not set(at) - set(members):
+                continue
+            g = one or Grams(made, [features[i] for i in at], target, keys)
+            base = [at.index(i) for i in members]
+            for k, v in f3_gains(g, base).items():
+                best_gain[at[k]] = max(best_gain[at[k]], v)
+                if all(abs(g.correlation(k, m)) <= MAX_CORRELATION for m in base):
+                    gains[at[k]] = v
+        best = max(gains, key=lambda i: (gains[i], -i), default=None)
+        if best is None or gains[best] <= 1e-9:
+            break
+        chosen.append((best, gains[best]))
+    return [(features[i], v) for i, v in chosen], list(zip(features, best_gain, strict=True))
+
+
 def f4_progressive(g: Grams, base: list[int], i: int) -> tuple[bool, list[float]]:
     """Gain on 1, 2 and all row buckets: positive, and half of it retained."""
     gains = [g.loss(base, buckets=b) - g.loss([*base, i], buckets=b) for b in (1, 2, BUCKETS)]
@@ -347,22 +375,15 @@ def run_funnel(df: DataFrame, features: list[Feature], profiles: list[ColumnProf
     passed = f2_materialise(made, alive)
     log += passed
     alive = [v.feature for v in passed if v.passed]
-    finalists: list[Feature] = []
-    for i in range(0, len(alive), BATCH):  # each batch keeps its best, the last round decides among these
-        part = alive[i : i + BATCH]
-        g = Grams(made, part, target, keys)
-        gains = f3_gains(g, [])
-        log += [Verdict(part[k], "F3", v > 0, "", {"gain": v}) for k, v in gains.items()]
-        finalists += [part[k] for k in sorted((k for k in gains if gains[k] > 0), key=lambda k: -gains[k])[: max(2 * size, BATCH // max(1, -(-len(alive) // BATCH)))]]
-    finalists = finalists[:BATCH] if len(alive) <= BATCH else finalists
-    if len(finalists) > BATCH:
-        raise ValueError(f"{len(finalists)} finalists; raise BATCH or lower size")
-    if not finalists:
+    picked, probes = select_features(made, alive, target, keys, size)
+    log += [Verdict(f, "F3", v > 0, "", {"gain": v}) for f, v in probes]
+    if not picked:
         return Selection(FeaturePipeline([]), [], log, float("nan"), float("nan"))
+    finalists = [f for f, _ in picked]
     g = Grams(made, finalists, target, keys)
     members: list[int] = []
     chosen = []
-    for i, gain in select_portfolio(g, size):
+    for i, (_, gain) in enumerate(picked):
         progress, _ = f4_progressive(g, members, i)
         stable, stability = f6_stability(g, members, i)
         ok = progress and stable and f5_complementary(g, members, i)

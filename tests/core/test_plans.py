@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tabloom import plan_queries
 from tabloom.operators import get
-from tabloom.plans import codegen, experience, models, problem, report
+from tabloom.plans import codegen, experience, models, problem, report, selection
 from tabloom.plans.features import Feature, FeatureEstimator, FeatureGraph, FeaturePipeline, check_domains, fold_identity
 from tabloom.plans.learn import learn
 from tabloom.plans.profile import fingerprint, meta_features, profile
@@ -181,6 +181,23 @@ def test_holdout_rows_do_not_move_the_selection(toy):
     assert pick(split) == pick(changed)
 
 
+def test_every_candidate_meets_the_chosen_ones(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    y, n = r.normal(size=3000), r.normal(size=3000)
+    n -= y * (n @ y) / (y @ y)  # alone it tells nothing of y
+    frame = pd.DataFrame({"i": range(3000), "y": y, "a": y + n, "n": n, **{f"z{j}": r.normal(size=3000) for j in range(3)}})
+    made, features = spark.createDataFrame(frame), [Feature.of("identity", c) for c in ("a", "z0", "z1", "z2", "n")]
+    made = FeaturePipeline(features).fit(made).transform(made)
+    whole, probes = selection.select_features(made, features, F.col("y"), ["i"], 2)
+    assert [f.name for f, _ in whole] == ["identity(a)", "identity(n)"] and len(probes) == 5
+    monkeypatch.setattr(selection, "BATCH", 2)
+    parts, _ = selection.select_features(made, features, F.col("y"), ["i"], 2)
+    assert [f.name for f, _ in parts] == ["identity(a)", "identity(n)"] and [g for _, g in parts] == pytest.approx([g for _, g in whole])
+    table = spark.createDataFrame(frame)
+    found = run_funnel(table, features, [p for p in profile(table) if p.name not in ("i", "y")], F.col("y"), ["i"], 2)
+    assert [f.name for f, _ in found.chosen] == ["identity(a)", "identity(n)"]
+
+
 def test_preconditions(toy):
     by = {p.name: p for p in profile(toy)}
     assert not f0_preconditions(Feature.of("log1p", "c"), by).passed and not f0_preconditions(Feature.of("log1p", "zz"), by).passed
