@@ -26,10 +26,13 @@ class Report:
 def learn(df: DataFrame, target: str, keys: list[str], task: str | None = None, time: str | None = None, group: str | None = None, size: int = 8, candidates: tuple[str, ...] = ("ridge", "logistic", "tree")) -> Report:
     """Select features for ``target`` on rows that are not held out, and score models on the held-out ones.
 
-    ``keys`` identify a row; they, the target and columns a detector rejects are never features."""
+    Binary targets are probed as 0 and 1 with the squared error of a linear model, not clipped; for several classes there is
+    no probe, and an error is raised. ``keys`` identify a row; they, the target and columns a detector rejects are never features."""
     profiles = profile(df)
     by_name = {p.name: p for p in profiles}
     inferred = problem.infer_task(df, target, by_name[target], task, time)
+    if inferred.kind not in ("binary", "regression", "forecasting") or inferred.kind != "binary" and not by_name[target].numeric:
+        raise NotImplementedError(f"learn has no probe for a {inferred.kind} target of type {by_name[target].physical}; binary and numeric targets only")
     split = problem.holdout(df.where(F.col(target).isNotNull()), keys, time=time, group=group)
     train, test = split.where(~F.col("is_holdout")).drop("is_holdout"), split.where(F.col("is_holdout")).drop("is_holdout")
     columns = [c for c in df.columns if c not in (target, *keys)]

@@ -174,6 +174,12 @@ def test_learn_finds_the_signal(toy):
     assert found.selection.loss < found.selection.base_loss
 
 
+def test_learn_refuses_targets_without_a_probe(toy):
+    for target in (F.concat(F.lit("c"), (F.col("i") % 3).cast("string")), F.col("i") % 3):
+        with pytest.raises(NotImplementedError, match="multiclass"):
+            learn(toy.withColumn("y", target), "y", ["i"])
+
+
 def test_holdout_rows_do_not_move_the_selection(toy):
     split = problem.holdout(toy, ["i"])
     changed = split.withColumn("y", F.when(F.col("is_holdout"), -F.col("y")).otherwise(F.col("y")))
