@@ -216,7 +216,7 @@ def _extract(body, path: str | None) -> list:
 
 def read_api(spark: SparkSession, url: str, json_path: str | None = None, page_param: str | None = None, page_size: int = 100, cursor_path: str | None = None, cursor_param: str = "cursor", query: str | None = None, max_pages: int = 1000, fetch=None) -> DataFrame:
     """A REST or GraphQL endpoint of JSON: pages by offset or cursor, records at ``json_path``. ``query`` posts GraphQL.
-    Redirects are not followed and HTML is refused. ``fetch(url, body)`` replaces the network, as in tests."""
+    Redirects are not followed and HTML is refused, and so is a listing of more than ``max_pages`` pages. ``fetch(url, body)`` replaces the network, as in tests."""
     if fetch is None:
         assert_public(url)
 
@@ -230,7 +230,7 @@ def read_api(spark: SparkSession, url: str, json_path: str | None = None, page_p
 
     records: list[str] = []
     cursor, offset = None, 0
-    for _ in range(max_pages):
+    for n in range(max_pages + 1):
         extra = {page_param: str(offset)} if page_param else {cursor_param: cursor} if cursor else {}
         parts = urlsplit(url)
         target = urlunsplit(parts._replace(query=urlencode([*parse_qsl(parts.query), *extra.items()])))
@@ -239,6 +239,8 @@ def read_api(spark: SparkSession, url: str, json_path: str | None = None, page_p
             raise SourceError("the endpoint answered with HTML")
         body = json.loads(raw)
         page = [r for r in _extract(body, json_path) if isinstance(r, dict)]
+        if page and n == max_pages:
+            raise SourceError(f"the listing has more than {max_pages} pages")
         records += [json.dumps(r) for r in page]
         cursor = next(iter(_extract(body, cursor_path)), None) if cursor_path else None
         offset += page_size
@@ -247,8 +249,8 @@ def read_api(spark: SparkSession, url: str, json_path: str | None = None, page_p
     if not records:
         raise SourceError("no records")
     lines = spark.createDataFrame([(r,) for r in records], "value string")
-    schema = spark.range(1).select(F.schema_of_json(F.lit(f"[{','.join(records[:200])}]"))).first()[0]
-    return lines.select(F.from_json("value", schema[len("ARRAY<") : -1] if schema.startswith("ARRAY<") else schema).alias("r")).select("r.*")
+    schema = spark.read.json(spark.sparkContext.parallelize(records)).schema  # of all records
+    return lines.select(F.from_json("value", schema).alias("r")).select("r.*")
 
 
 def read_frame(spark: SparkSession, frame) -> DataFrame:

@@ -328,6 +328,18 @@ def test_each_order_gets_a_leaf_from_other_folds(spark, tmp_path):
     assert set(got) == set(range(1, 201)) and None not in got.values()
 
 
+def test_api_schema_of_all_records_and_page_limit(spark):
+    from urllib.parse import parse_qs, urlsplit
+
+    rows = [{"id": i, "v": i} for i in range(300)] + [{"id": 300, "v": 0.5, "late": "x"}, {"id": 301, "v": 2}]
+    got = read_api(spark, "https://example.org/x", fetch=lambda u, b: json.dumps(rows).encode())
+    assert {r.id: (r.v, r.late) for r in got.where("id >= 299").collect()} == {299: (299.0, None), 300: (0.5, "x"), 301: (2.0, None)}
+    offset = lambda u, b: json.dumps(rows[int(parse_qs(urlsplit(u).query)["offset"][0]) :][:100]).encode()
+    assert read_api(spark, "https://example.org/x", page_param="offset", max_pages=4, fetch=offset).count() == 302
+    with pytest.raises(SourceError, match="more than 3 pages"):
+        read_api(spark, "https://example.org/x", page_param="offset", max_pages=3, fetch=offset)
+
+
 # ---- streams -----------------------------------------------------------------------------------------------------------
 
 
