@@ -26,13 +26,21 @@ class Report:
 def learn(df: DataFrame, target: str, keys: list[str], task: str | None = None, time: str | None = None, group: str | None = None, size: int = 8, candidates: tuple[str, ...] = ("ridge", "logistic", "tree")) -> Report:
     """Select features for ``target`` on rows that are not held out, and score models on the held-out ones.
 
-    Binary targets are probed as 0 and 1 with the squared error of a linear model, not clipped; for several classes there is
-    no probe, and an error is raised. ``keys`` identify a row; they, the target and columns a detector rejects are never features."""
+    Binary targets are probed by the clipped Brier score, up to MULTICLASS_CAP classes one against the rest, numbers by the
+    root mean squared error. ``keys`` identify a row; they, the target and columns a detector rejects are never features."""
     profiles = profile(df)
     by_name = {p.name: p for p in profiles}
     inferred = problem.infer_task(df, target, by_name[target], task, time)
-    if inferred.kind not in ("binary", "regression", "forecasting") or inferred.kind != "binary" and not by_name[target].numeric:
-        raise NotImplementedError(f"learn has no probe for a {inferred.kind} target of type {by_name[target].physical}; binary and numeric targets only")
+    label = F.col(f"`{target}`").cast("string")
+    if inferred.kind == "binary":
+        y = probes = (label == inferred.positive).cast("double")
+    elif inferred.kind == "multiclass" and inferred.classes <= problem.MULTICLASS_CAP:
+        probes = [(label == c).cast("double") for c in inferred.labels]
+        y = (F.array_position(F.array(*[F.lit(c) for c in inferred.labels]), label) - 1).cast("double")
+    elif inferred.kind in ("regression", "forecasting") and by_name[target].numeric:
+        y = probes = num(target)
+    else:
+        raise NotImplementedError(f"learn has no probe for a {inferred.kind} target of type {by_name[target].physical} with {by_name[target].distinct} values")
     split = problem.holdout(df.where(F.col(target).isNotNull()), keys, time=time, group=group)
     train, test = split.where(~F.col("is_holdout")).drop("is_holdout"), split.where(F.col("is_holdout")).drop("is_holdout")
     columns = [c for c in df.columns if c not in (target, *keys)]
@@ -41,8 +49,7 @@ def learn(df: DataFrame, target: str, keys: list[str], task: str | None = None,
         leaks += problem.statistical_leaks(train, [c for c in columns if c not in {x.column for x in leaks}], target)
     rejected = {x.column for x in leaks if x.severity == "HARD_REJECT"}
     usable = [p for p in profiles if p.name in columns and p.name not in rejected and p.semantic != "identifier"]
-    y = (F.col(target).cast("string") == inferred.positive).cast("double") if inferred.kind == "binary" else num(target)
-    selection = run_funnel(train, propose(usable, target), usable, y, keys, size)
+    selection = run_funnel(train, propose(usable, target), usable, probes, keys, size, inferred.kind)
     scores, best = {}, None
     if selection.chosen:
         made = [selection.pipeline.transform(part.withColumn("_y", y)) for part in (train, test)]

@@ -11,11 +11,14 @@ from pyspark.sql import functions as F
 
 from ..functions.clean import num
 from ..functions.order import cumulative, rank_auc
+from ..operators import get
 from .profile import MISSING_TOKENS, ColumnProfile
 
 MULTICLASS_CAP = 10
-#: fixed values: spellings of the positive class
+#: spellings of the positive class
 TRUTHY = ("1", "true", "yes", "y", "t", "positive", "pos")
+#: classes that are counted on the driver
+MAX_CLASSES = 1000
 
 
 @dataclass
@@ -24,6 +27,7 @@ class Task:
     confidence: float
     positive: str | None = None
     classes: int | None = None
+    labels: tuple[str, ...] = ()
     positive_rate: float | None = None
     imbalanced: bool = False
     reasons: list[str] = field(default_factory=list)
@@ -45,10 +49,12 @@ def infer_task(df: DataFrame, target: str, p: ColumnProfile, explicit: str | Non
         out = Task("auto", 0.3, reasons=[f"{p.semantic} target"])
     if out.kind in ("binary", "multiclass"):
         label = F.col(f"`{target}`").cast("string")
-        counts = df.where(label.isNotNull()).groupBy(label.alias("c")).count().orderBy("c").limit(1000).collect()
+        counts = df.where(label.isNotNull()).groupBy(label.alias("c")).count().orderBy("c").limit(MAX_CLASSES + 1).collect()
+        if len(counts) > MAX_CLASSES:
+            raise ValueError(f"{target} has more than {MAX_CLASSES} classes")
         total = sum(r[1] for r in counts) or 1
-        out.classes = len(counts)
         names = [r[0] for r in counts]
+        out.classes, out.labels = len(names), tuple(names)
         out.positive = next((c for c in names if c.strip().lower() in TRUTHY or c.strip() == "1.0"), names[-1] if names else None)
         out.positive_rate = dict(map(tuple, counts)).get(out.positive, 0) / total
         out.imbalanced = min((r[1] for r in counts), default=0) / total < 0.2
@@ -65,6 +71,27 @@ METRICS = {
 }
 
 
+@dataclass(frozen=True)
+class Metric:
+    name: str
+    maximise: bool
+
+
+def route_metrics(task: str, imbalanced: bool = False, probabilities: bool = True, action: str | None = None, costs: bool = False, non_negative: bool = False) -> list[Metric]:
+    """The metrics a task is judged by, the first is primary; options add those that need more than a task tells."""
+    up, down = (lambda *names: [Metric(n, True) for n in names]), (lambda *names: [Metric(n, False) for n in names])
+    if task == "binary":
+        extra = up("average_precision") if imbalanced else []
+        extra += down("log_loss", "brier") if probabilities else []
+        return up("roc_auc") + extra + (up("f1") if action == "f1" else []) + (up("business_utility") if costs else [])
+    if task == "multiclass":
+        return down("log_loss") + up("macro_f1", "micro_f1", "balanced_accuracy")
+    if task in ("regression", "forecasting"):
+        guarded = (["rmsle"] if non_negative else []) + (["mape"] if non_negative or task == "forecasting" else [])
+        return down("rmse", "mae") + up("r2") + down(*guarded)
+    return []
+
+
 # ---- folds: always columns, never lists of rows ----------------------------------------------------------------------
 
 
@@ -155,6 +182,12 @@ def _present(c: Column) -> Column:
     return F.when((s != "") & ~s.isin(*MISSING_TOKENS), s)
 
 
+def _number(df: DataFrame, c: str) -> Column:
+    """The column as a double; dates, timestamps and nested values are no numbers, and Spark refuses their cast."""
+    kind = dict(df.dtypes)[c]
+    return F.lit(None).cast("double") if kind.startswith(("date", "timestamp", "interval", "binary", "array", "map", "struct")) else num(F.col(f"`{c}`"))
+
+
 def deterministic_leaks(df: DataFrame, columns: list[str], target: str) -> list[LeakFinding]:
     """Stage A: copies, inverted copies, bijections of near-unique strings, and the target inside a string. All columns in
     one aggregation."""
@@ -172,7 +205,7 @@ def deterministic_leaks(df: DataFrame, columns: list[str], target: str) -> list[
             F.approx_count_distinct(F.when(both, f), 0.02).alias(f"{c}\0df"),
             F.approx_count_distinct(F.when(both, t), 0.02).alias(f"{c}\0dt"),
             F.avg(F.when(both & (F.length(t) >= 1), f.contains(t).cast("double"))).alias(f"{c}\0inside"),
-            F.count_if(both & (num(F.col(c)).isNull() | num(F.col(target)).isNull())).alias(f"{c}\0texts"),
+            F.count_if(both & (_number(df, c).isNull() | _number(df, target).isNull())).alias(f"{c}\0texts"),
             F.min(residue).alias(f"{c}\0residue"),
             F.max(residue).alias(f"{c}\0other"),
             F.min(F.when(both, F.length(t))).alias(f"{c}\0least"),
@@ -211,13 +244,13 @@ def statistical_leaks(df: DataFrame, columns: list[str], target: str) -> list[Le
     gaps = df.agg(
         *[a for c in columns for a in (
             F.avg(F.when(y == 1, _present(F.col(c)).isNull().cast("double"))) - F.avg(F.when(y == 0, _present(F.col(c)).isNull().cast("double"))),
-            F.approx_count_distinct(_present(F.col(c)), 0.02), F.count(num(c)), F.count(_present(F.col(c))), F.count_if(_present(F.col(c)).isNull()),
+            F.approx_count_distinct(_present(F.col(c)), 0.02), F.count(_number(df, c)), F.count(_present(F.col(c))), F.count_if(_present(F.col(c)).isNull()),
         )]
     ).first()
     for i, c in enumerate(columns):
         gap, levels, numbers, present, missing = gaps[5 * i : 5 * i + 5]
         if numbers and numbers == present and numbers >= 20:
-            auc = rank_auc(df, num(c), y)
+            auc = rank_auc(df, _number(df, c), y)
             if auc is not None and auc >= 0.98:
                 out.append(LeakFinding(c, "separation", "REVIEW", "L4", auc))
         if present and levels <= 200 and levels < 0.5 * present:
@@ -256,6 +289,31 @@ def availability(columns: dict[str, str | None], prediction_time: str) -> list[L
     return out
 
 
+def confirm_unavailable(columns: list[str]) -> list[LeakFinding]:
+    """Columns that are known not to exist when a prediction is made."""
+    return [LeakFinding(c, "unavailable_at_prediction", "HARD_REJECT", "L5", 1.0) for c in columns]
+
+
+def target_history(used: bool, delay_known: bool = False) -> list[LeakFinding]:
+    """Lags of the target need a known delay after which labels arrive."""
+    return [LeakFinding("target_history", "label_delay_unknown", "REVIEW", "L3", 0.0)] if used and not delay_known else []
+
+
+def fold_safety(features: list, scope: str = "training_fold") -> list[str]:
+    """Stage D: what is wrong with fitting these features in ``scope`` (``training_fold`` or ``development``) when folds are
+    judged. States fitted on all rows are for the final model only; features that see the target are cross-fitted."""
+    out = []
+    for f in features:
+        op = get(f.op)
+        if op.shape != "fitted":
+            continue
+        if scope != "training_fold":
+            out.append(f"{f.name}: fitted on {scope} rows, which hold the rows it is judged on")
+        if op.leakage == "L2" and scope != "training_fold":
+            out.append(f"{f.name}: sees the target and needs cross-fitting")
+    return out
+
+
 # ---- scores ----------------------------------------------------------------------------------------------------------
 
 
@@ -320,6 +378,24 @@ def best_threshold(df: DataFrame, p: str, y: str, objective: str = "f1", floor:
     return (row["threshold"], row["v"]) if row else None
 
 
+@dataclass(frozen=True)
+class DecisionPolicy:
+    """A threshold, and what calibrates the scores it is for, fixed before the holdout is looked at."""
+
+    objective: str
+    threshold: float
+    calibrator: str | None
+    fingerprint: str
+
+
+def freeze_policy(objective: str, threshold: float, calibrator: str | None = None) -> DecisionPolicy:
+    import hashlib
+    import json
+
+    body = json.dumps([objective, threshold, calibrator])
+    return DecisionPolicy(objective, threshold, calibrator, hashlib.sha256(body.encode()).hexdigest())
+
+
 def shift_auc(train: DataFrame, test: DataFrame, column: str) -> float | None:
     """How well a column tells train from test rows; 0.95 or more is shift."""
     both = train.select(num(column).alias("x"), F.lit(0.0).alias("y")).unionByName(test.select(num(column).alias("x"), F.lit(1.0).alias("y")))

@@ -26,7 +26,7 @@ BATCH = 48
 
 #: fixed values: the first matching name pattern proposes its operators
 NAME_HINTS = (
-    (r"(^|_)(date|time|timestamp|dt|day|month|year)(_|$)", ("month", "day_of_week")),
+    (r"(^|_)(date|dt|timestamp|ts|time)(_|$)", ("year", "month", "day_of_week")),
     (r"(^|_)(price|amount|cost|revenue|salary|income|fee)(_|$)", ("log1p", "safe_ratio")),
     (r"(^|_)(count|qty|quantity|num|number|n_|cnt)(_|$)", ("log1p",)),
     (r"(^|_)(rate|ratio|pct|percent|share|frac)(_|$)", ("sqrt",)),
@@ -231,42 +231,106 @@ def _cell_grams(rows: DataFrame, columns: list[str], keys: list[str]) -> list[tu
 
 
 class Grams:
-    """Sums of products of [1, candidates..., target] by row bucket and by the fold of each seed."""
+    """Sums of products of [1, candidates..., targets...] by row bucket and by the fold of each seed.
 
-    def __init__(self, made: DataFrame, features: list[Feature], target: Column, keys: list[str], folds: int = PROBE_FOLDS, seeds: int = SEEDS) -> None:
-        self.names, self.folds, self.seeds = [f.name for f in features], folds, seeds
+    Regression has one target and the root mean squared error, which is algebra on the sums. Classes have an indicator
+    target each (binary: one for the positive class), a ridge model for each, and the mean squared error of their outputs
+    clipped to [0, 1], of several classes divided by their sum. Clipping is by row, so each call of ``losses`` is one pass over
+    the rows, for all sets of candidates it is given; the rows are kept meanwhile, until ``close``."""
+
+    def __init__(self, made: DataFrame, features: list[Feature], target: Column | list[Column], keys: list[str], folds: int = PROBE_FOLDS, seeds: int = SEEDS, task: str = "regression") -> None:
+        self.names, self.folds, self.seeds, self.clipped = [f.name for f in features], folds, seeds, task in ("binary", "multiclass")
+        targets = target if isinstance(target, list) else [target]
         kinds = dict(made.dtypes)
-        p = len(features)
+        p, self.classes = len(features), len(targets)
         xs = [as_number(F.col(f"`{f.name}`"), kinds[f.name]) for f in features]
-        base = made.select(*[x.alias(f"_{i}") for i, x in enumerate(xs)], target.cast("double").alias(f"_{p}"), *[F.col(k) for k in keys]).where(F.col(f"_{p}").isNotNull())
+        ys = [f"_{p + i}" for i in range(len(targets))]
+        base = made.select(*[x.alias(f"_{i}") for i, x in enumerate(xs)], *[t.cast("double").alias(y) for t, y in zip(targets, ys, strict=True)], *[F.col(k) for k in keys]).dropna(subset=ys)
         centre = base.agg(*[F.avg(f"_{i}") for i in range(p)], *[F.stddev_pop(f"_{i}") for i in range(p)]).first()
         self.mean = np.array([v or 0.0 for v in centre[:p]])
         self.scale = np.array([v if v and v > 1e-12 else 1.0 for v in centre[p:]])
         fold = lambda seed: F.pmod(F.xxhash64(F.lit(seed), *[F.col(k) for k in keys]), F.lit(folds))
         bucket = F.pmod(F.xxhash64(F.lit(-1), *[F.col(k) for k in keys]), F.lit(BUCKETS))
         # centred and scaled, so that sums of squares keep their precision
-        ready = base.select(*[((F.col(f"_{i}") - float(self.mean[i])) / float(self.scale[i])).alias(f"_{i}") for i in range(p)], F.col(f"_{p}"), bucket.alias("_b"), *[fold(s).alias(f"_f{s}") for s in range(seeds)])
-        self.cells = _cell_grams(ready, [f"_{i}" for i in range(p + 1)], ["_b", *[f"_f{s}" for s in range(seeds)]])
+        ready = base.select(*[((F.col(f"_{i}") - float(self.mean[i])) / float(self.scale[i])).alias(f"_{i}") for i in range(p)], *ys, bucket.alias("_b"), *[fold(s).alias(f"_f{s}") for s in range(seeds)])
+        self.ready = ready.persist() if self.clipped else ready
+        self.cells = _cell_grams(self.ready, [f"_{i}" for i in range(p + self.classes)], ["_b", *[f"_f{s}" for s in range(seeds)]])
         self.p = p
 
+    def close(self) -> None:
+        if self.clipped:
+            self.ready.unpersist()
+
     def total(self, keep=lambda bucket, folds: True) -> np.ndarray:
-        return sum((g for b, f, g in self.cells if keep(b, f)), np.zeros((self.p + 2, self.p + 2)))
+        return sum((g for b, f, g in self.cells if keep(b, f)), np.zeros((self.p + 1 + self.classes,) * 2))
 
-    def loss(self, chosen: list[int], seed: int = 0, buckets: int = BUCKETS, ridge: float = RIDGE) -> float:
-        """Cross-validated root mean squared error of a ridge model on the chosen candidates, on the first buckets."""
+    def _fold_weights(self, chosen: list[int], seed: int, buckets: int, ridge: float) -> list[np.ndarray | None]:
+        """(1 + chosen, targets) for each fold, learned on the others; None for a fold without rows."""
         at = np.array([0, *[c + 1 for c in chosen]])
-        y = self.p + 1
         whole = self.total(lambda b, f: b < buckets)
-        sse = n = 0.0
+        out: list[np.ndarray | None] = []
         for k in range(self.folds):
-            out = self.total(lambda b, f, k=k: b < buckets and f[seed] == k)
-            if out[0, 0] == 0:
-                continue
-            train = whole - out
-            w = np.linalg.solve(train[np.ix_(at, at)] + ridge * np.eye(len(at)), train[at, y])
-            sse += out[y, y] - 2 * w @ out[at, y] + w @ out[np.ix_(at, at)] @ w
-            n += out[0, 0]
-        return math.sqrt(max(0.0, sse) / n) if n else float("inf")
+            left = self.total(lambda b, f, k=k: b < buckets and f[seed] == k)
+            train = whole - left
+            out.append(np.linalg.solve(train[np.ix_(at, at)] + ridge * np.eye(len(at)), train[at, self.p + 1 :]) if left[0, 0] else None)
+        return out
+
+    def loss(self, chosen: list[int], seed: int = 0, buckets: int = BUCKETS, ridge: float = RIDGE) -> float:
+        return self.losses([(chosen, seed, buckets)], ridge)[0]
+
+    def losses(self, jobs: list[tuple[list[int], int, int]], ridge: float = RIDGE) -> list[float]:
+        """Cross-validated loss of ridge models for each (chosen candidates, seed, first buckets)."""
+        if self.clipped:
+            return self._clipped(jobs, ridge)
+        out = []
+        for chosen, seed, buckets in jobs:
+            at, y = np.array([0, *[c + 1 for c in chosen]]), self.p + 1
+            sse = n = 0.0
+            for k, w in enumerate(self._fold_weights(chosen, seed, buckets, ridge)):
+                if w is not None:
+                    left, w = self.total(lambda b, f, k=k: b < buckets and f[seed] == k), w[:, 0]  # noqa: B023
+                    sse += left[y, y] - 2 * w @ left[at, y] + w @ left[np.ix_(at, at)] @ w
+                    n += left[0, 0]
+            out.append(math.sqrt(max(0.0, sse) / n) if n else float("inf"))
+        return out
+
+    def _clipped(self, jobs: list[tuple[list[int], int, int]], ridge: float) -> list[float]:
+        import pyarrow as pa
+
+        p, classes, folds = self.p, self.classes, self.folds
+        plans: dict[tuple[int, int], tuple[list[int], np.ndarray]] = {}
+        for seed, buckets in {(s, b) for _, s, b in jobs}:
+            at = [i for i, (_, s, b) in enumerate(jobs) if (s, b) == (seed, buckets)]
+            dense = np.zeros((folds, p + 1, len(at), classes))
+            for n, i in enumerate(at):
+                for k, w in enumerate(self._fold_weights(jobs[i][0], seed, buckets, ridge)):
+                    if w is not None:
+                        dense[k, [0, *[c + 1 for c in jobs[i][0]]], n] = w
+            plans[seed, buckets] = (at, dense.reshape(folds, p + 1, -1))
+
+        def score(batches):
+            sse, rows = np.zeros(len(jobs)), np.zeros(len(jobs))
+            for b in batches:
+                column = lambda i, b=b: b.column(i).to_numpy(zero_copy_only=False)
+                x = np.column_stack([np.ones(b.num_rows), *[column(i) for i in range(p)]])
+                y = np.column_stack([column(p + i) for i in range(classes)])
+                bucket = column(p + classes)
+                for (seed, buckets), (at, w) in plans.items():
+                    fold = column(p + classes + 1 + seed)
+                    for k in range(folds):
+                        mine = (fold == k) & (bucket < buckets)
+                        if mine.any():
+                            out = np.clip(x[mine] @ w[k], 0.0, 1.0).reshape(-1, len(at), classes)
+                            if classes > 1:
+                                total = out.sum(axis=2, keepdims=True)
+                                out = np.where(total > 0, out / np.where(total > 0, total, 1.0), 1.0 / classes)
+                            sse[at] += ((out - y[mine][:, None, :]) ** 2).mean(axis=2).sum(axis=0)
+                            rows[at] += mine.sum()
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(jobs)), pa.int32()), pa.array(sse), pa.array(rows)], names=["job", "sse", "n"])
+
+        sums = self.ready.mapInArrow(score, "job int, sse double, n double").groupBy("job").agg(F.sum("sse"), F.sum("n")).collect()  # one row a job
+        found = {job: s / n if n else float("inf") for job, s, n in sums}
+        return [found.get(i, float("inf")) for i in range(len(jobs))]
 
     def correlation(self, i: int, j: int) -> float:
         g = self.total()
@@ -276,6 +340,7 @@ class Grams:
         return cov / math.sqrt(va * vb) if va > 0 and vb > 0 else 0.0
 
     def weights(self, chosen: list[int], ridge: float = RIDGE) -> np.ndarray:
+        """Of the first target."""
         at = np.array([0, *[c + 1 for c in chosen]])
         g = self.total()
         return np.linalg.solve(g[np.ix_(at, at)] + ridge * np.eye(len(at)), g[at, self.p + 1])
@@ -283,8 +348,9 @@ class Grams:
 
 def f3_gains(g: Grams, base: list[int], seed: int = 0) -> dict[int, float]:
     """Gain of each candidate over the base."""
-    start = g.loss(base, seed)
-    return {i: start - g.loss([*base, i], seed) for i in range(g.p) if i not in base}
+    others = [i for i in range(g.p) if i not in base]
+    start, *each = g.losses([(base, seed, BUCKETS), *[([*base, i], seed, BUCKETS) for i in others]])
+    return {i: start - v for i, v in zip(others, each, strict=True)}
 
 
 def select_portfolio(g: Grams, size: int = 8) -> list[tuple[int, float]]:
@@ -300,13 +366,13 @@ def select_portfolio(g: Grams, size: int = 8) -> list[tuple[int, float]]:
     return chosen
 
 
-def select_features(made: DataFrame, features: list[Feature], target: Column, keys: list[str], size: int = 8) -> tuple[list[tuple[Feature, float]], list[tuple[Feature, float]]]:
+def select_features(made: DataFrame, features: list[Feature], target: Column | list[Column], keys: list[str], size: int = 8, task: str = "regression") -> tuple[list[tuple[Feature, float]], list[tuple[Feature, float]]]:
     """(chosen features with their gains, each feature with its best gain in any step): ``select_portfolio`` over any number
     of features. Every feature is probed beside the chosen ones in each step. Up to BATCH of them need one Gram pass; more
     need one for each batch and step, of the batch and the chosen ones together."""
     best_gain = [-math.inf] * len(features)
     batches = [list(range(i, min(i + BATCH, len(features)))) for i in range(0, len(features), BATCH)]
-    one = Grams(made, features, target, keys) if len(batches) == 1 else None
+    one = Grams(made, features, target, keys, task=task) if len(batches) == 1 else None
     chosen: list[tuple[int, float]] = []
     while len(chosen) < size:
         members = [i for i, _ in chosen]
@@ -315,22 +381,27 @@ def select_features(made: DataFrame, features: list[Feature], target: Column, ke
             at = part if one else [*members, *[i for i in part if i not in members]]
             if not set(at) - set(members):
                 continue
-            g = one or Grams(made, [features[i] for i in at], target, keys)
+            g = one or Grams(made, [features[i] for i in at], target, keys, task=task)
             base = [at.index(i) for i in members]
             for k, v in f3_gains(g, base).items():
                 best_gain[at[k]] = max(best_gain[at[k]], v)
                 if all(abs(g.correlation(k, m)) <= MAX_CORRELATION for m in base):
                     gains[at[k]] = v
+            if not one:
+                g.close()
         best = max(gains, key=lambda i: (gains[i], -i), default=None)
         if best is None or gains[best] <= 1e-9:
             break
         chosen.append((best, gains[best]))
+    if one:
+        one.close()
     return [(features[i], v) for i, v in chosen], list(zip(features, best_gain, strict=True))
 
 
 def f4_progressive(g: Grams, base: list[int], i: int) -> tuple[bool, list[float]]:
     """Gain on 1, 2 and all row buckets: positive, and half of it retained."""
-    gains = [g.loss(base, buckets=b) - g.loss([*base, i], buckets=b) for b in (1, 2, BUCKETS)]
+    losses = g.losses([(x, 0, b) for b in (1, 2, BUCKETS) for x in (base, [*base, i])])
+    gains = [a - b for a, b in zip(losses[::2], losses[1::2], strict=True)]
     return all(v > 0 for v in gains) and gains[-1] >= 0.5 * max(gains), gains
 
 
@@ -340,7 +411,8 @@ def f5_complementary(g: Grams, members: list[int], i: int) -> bool:
 
 def f6_stability(g: Grams, base: list[int], i: int) -> tuple[bool, float]:
     """Positive gain under each seed, and a coefficient of variation of 0.5 at most; stability is 1 / (1 + cv)."""
-    gains = np.array([g.loss(base, s) - g.loss([*base, i], s) for s in range(g.seeds)])
+    losses = g.losses([(x, s, BUCKETS) for s in range(g.seeds) for x in (base, [*base, i])])
+    gains = np.array(losses[::2]) - np.array(losses[1::2])
     cv = float(gains.std() / gains.mean()) if gains.mean() > 0 else float("inf")
     return bool((gains > 0).all() and cv <= 0.5), 0.0 if math.isinf(cv) else 1 / (1 + cv)
 
@@ -354,7 +426,7 @@ class Selection:
     base_loss: float
 
 
-def run_funnel(df: DataFrame, features: list[Feature], profiles: list[ColumnProfile], target: Column, keys: list[str], size: int = 8) -> Selection:
+def run_funnel(df: DataFrame, features: list[Feature], profiles: list[ColumnProfile], target: Column | list[Column], keys: list[str], size: int = 8, task: str = "regression") -> Selection:
     """F0 to F6 over ``df`` (training rows): profiles decide first, then one pass each for domains, F2 and the Gram sums."""
     by_name = {p.name: p for p in profiles}
     rows = profiles[0].rows if profiles else 0
@@ -375,12 +447,12 @@ def run_funnel(df: DataFrame, features: list[Feature], profiles: list[ColumnProf
     passed = f2_materialise(made, alive)
     log += passed
     alive = [v.feature for v in passed if v.passed]
-    picked, probes = select_features(made, alive, target, keys, size)
+    picked, probes = select_features(made, alive, target, keys, size, task)
     log += [Verdict(f, "F3", v > 0, "", {"gain": v}) for f, v in probes]
     if not picked:
         return Selection(FeaturePipeline([]), [], log, float("nan"), float("nan"))
     finalists = [f for f, _ in picked]
-    g = Grams(made, finalists, target, keys)
+    g = Grams(made, finalists, target, keys, task=task)
     members: list[int] = []
     chosen = []
     for i, (_, gain) in enumerate(picked):
@@ -393,7 +465,9 @@ def run_funnel(df: DataFrame, features: list[Feature], profiles: list[ColumnProf
             chosen.append((finalists[i], gain))
     final = FeaturePipeline([f for f, _ in chosen])
     final.states = {k: v for k, v in pipeline.states.items() if k in {f.identity for f in final.features}}
-    return Selection(final, chosen, log, g.loss(members), g.loss([]))
+    with_members, without = g.losses([(members, 0, BUCKETS), ([], 0, BUCKETS)])
+    g.close()
+    return Selection(final, chosen, log, with_members, without)
 
 
 def progressive_cv(g: Grams, chosen: list[int], ridge: float = 1.0) -> list[float]:
@@ -402,7 +476,7 @@ def progressive_cv(g: Grams, chosen: list[int], ridge: float = 1.0) -> list[floa
 
 
 def nested_cv(g: Grams, chosen: list[int], grid: tuple[float, ...] = (1e-3, 1e-2, 1e-1, 1.0, 10.0)) -> tuple[float, float]:
-    """(outer loss, mean ridge): the ridge of each outer fold is chosen on folds of another seed within its training rows."""
+    """Of the first target, unclipped: (outer loss, mean ridge): the ridge of each outer fold is chosen on folds of another seed within its training rows."""
     at, y = np.array([0, *[c + 1 for c in chosen]]), g.p + 1
     sse = n = 0.0
     picked = []

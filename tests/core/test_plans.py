@@ -174,10 +174,69 @@ def test_learn_finds_the_signal(toy):
     assert found.selection.loss < found.selection.base_loss
 
 
-def test_learn_refuses_targets_without_a_probe(toy):
-    for target in (F.concat(F.lit("c"), (F.col("i") % 3).cast("string")), F.col("i") % 3):
-        with pytest.raises(NotImplementedError, match="multiclass"):
-            learn(toy.withColumn("y", target), "y", ["i"])
+@pytest.fixture(scope="module")
+def mixed(spark):
+    r = np.random.default_rng(8)
+    a, b = r.normal(size=600), r.normal(size=600)
+    kind = np.where(a > 0.4, "high", np.where(a < -0.4, "low", "mid"))
+    rows = [(i, float(a[i]), float(b[i]), f"t{i % 7}", bool(i % 3), str(kind[i]), bool(a[i] + 0.3 * b[i] > 0.2)) for i in range(600)]
+    df = spark.createDataFrame(rows, "i int, a double, b double, c string, flag boolean, kind string, yes boolean")
+    day = F.date_add(F.lit("2024-01-01").cast("date"), F.col("i") % 300)
+    return df.withColumns({"day": day, "at": day.cast("timestamp_ntz"), "at_zone": day.cast("timestamp")})
+
+
+@pytest.mark.parametrize(("target", "kind", "loss"), [("kind", "multiclass", 0.2), ("yes", "binary", 0.2), ("at_number", "regression", None)])
+def test_learn_on_columns_and_targets_of_all_types(mixed, target, kind, loss):
+    df = mixed.withColumn("at_number", F.col("a") * 3 + F.month("day")).drop(*({"kind", "yes"} - {target}))
+    df = df.select(*[c for c in df.columns if c == target or c not in ("at_number",)])
+    found = learn(df, target, ["i"], size=2, candidates=("ridge", "logistic"))
+    assert found.task.kind == kind and any("(a)" in f.name for f, _ in found.selection.chosen) and found.scores
+    assert found.selection.loss < found.selection.base_loss
+    if loss:
+        assert 0 < found.selection.loss < loss
+
+
+def test_learn_refuses_targets_without_a_probe(mixed):
+    with pytest.raises(NotImplementedError, match="no probe"):
+        learn(mixed.withColumn("y", F.concat(F.lit("c"), F.col("i").cast("string"))), "y", ["i"])
+
+
+@pytest.mark.parametrize("classes", [1, 3])
+def test_clipped_losses_equal_direct_ones(mixed, classes):
+    fs = [Feature.of("identity", "a"), Feature.of("identity", "b")]
+    names = ["high", "low", "mid"][:classes]
+    made = FeaturePipeline(fs).transform(mixed)
+    g = Grams(made, fs, [(F.col("kind") == n).cast("double") for n in names], ["i"], task="binary" if classes == 1 else "multiclass")
+    rows = made.withColumn("f", F.pmod(F.xxhash64(F.lit(1), F.col("i")), F.lit(3))).select("identity(a)", "identity(b)", "kind", "f").toPandas()
+    x = np.column_stack([np.ones(len(rows)), (rows.iloc[:, :2] - rows.iloc[:, :2].mean()) / rows.iloc[:, :2].std(ddof=0)])
+    y = np.column_stack([(rows.kind == n).to_numpy(float) for n in names])
+    total = 0.0
+    for k in range(3):
+        t = (rows.f != k).to_numpy()
+        out = np.clip(x[~t] @ np.linalg.solve(x[t].T @ x[t] + 1e-6 * np.eye(3), x[t].T @ y[t]), 0, 1)
+        if classes > 1:
+            out = out / out.sum(axis=1, keepdims=True)
+        total += float(((out - y[~t]) ** 2).mean(axis=1).sum())
+    assert g.losses([([0, 1], 1, 4), ([], 1, 4)])[0] == pytest.approx(total / len(rows), rel=1e-9)
+    g.close()
+
+
+def test_leak_passes_take_dates(mixed):
+    columns = ["day", "at", "at_zone", "flag", "c"]
+    assert problem.deterministic_leaks(mixed, columns, "kind") == [] and problem.deterministic_leaks(mixed, ["c"], "day") == []
+    assert problem.statistical_leaks(mixed, columns, "yes") == []
+    assert [f.column for f in problem.deterministic_leaks(mixed.withColumn("again", F.col("at")), ["again"], "at")] == ["again"]
+
+
+def test_metrics_policies_and_fold_safety():
+    assert [m.name for m in problem.route_metrics("binary", imbalanced=True, action="f1")] == ["roc_auc", "average_precision", "log_loss", "brier", "f1"]
+    assert [m.name for m in problem.route_metrics("forecasting")] == ["rmse", "mae", "r2", "mape"] and problem.route_metrics("auto") == []
+    assert not problem.route_metrics("multiclass")[0].maximise and problem.route_metrics("regression", non_negative=True)[-1].name == "mape"
+    a, b = problem.freeze_policy("f1", 0.4), problem.freeze_policy("f1", 0.4, "bins")
+    assert a == problem.freeze_policy("f1", 0.4) and a.fingerprint != b.fingerprint
+    aware, plain = Feature.of("target_mean_crossfit", "c", "y"), Feature.of("log1p", "x")
+    assert problem.fold_safety([aware, plain]) == [] and len(problem.fold_safety([aware, plain], "development")) == 2
+    assert problem.target_history(True)[0].level == "L3" and not problem.target_history(True, True) and problem.confirm_unavailable(["x"])[0].severity == "HARD_REJECT"
 
 
 def test_holdout_rows_do_not_move_the_selection(toy):
