@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import re
 import tempfile
@@ -18,31 +19,79 @@ from pyspark.sql import functions as F
 WORD_RE = r"[^\x20\x09-\x0D]+"
 WORD = re.compile(WORD_RE)
 
-#: A table that is broadcast must be smaller than this; beyond it joins shuffle.
-BROADCAST_ROWS = 200_000
+#: A table that is broadcast must have fewer rows and bytes than this; beyond it joins shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
+#: a key with more rows than this is dealt out over parts
+HOT_ROWS = 256
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share: ``spark.checkpoint.dir``, else one of our own (local runs)."""
+    """The folder all machines share: ``spark.checkpoint.dir``. Only a local master may do without it: a folder of the
+    driver's own would split a cluster's work tables over its machines."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = f"file://{tempfile.mkdtemp(prefix='tabloom-')}"
-        spark.conf.set("spark.checkpoint.dir", at)
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context = spark.sparkContext  # the setting itself cannot be changed any more
+        at = context._tabloom_shared = getattr(context, "_tabloom_shared", None) or f"file://{tempfile.mkdtemp(prefix='tabloom-')}"
     return at.rstrip("/")
 
 
+def _work_root(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/tabloom-work/{spark.sparkContext.applicationId}"
+
+
+def clear_work_tables(spark: SparkSession) -> None:
+    """Delete this application's work tables. Results that were not written or collected yet still need them; so it
+    is done at the end of the process, or by a caller who knows better."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(_work_root(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _clear_at_exit(root: str, jvm, conf) -> None:
+    try:
+        path = jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(conf).delete(path, True)
+    except Exception:  # noqa: BLE001  the gateway may be gone already
+        return
+
+
 def work_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once into the shared folder and read it back: lineage ends here, so an executor that
     is lost later costs a re-read and not a recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tabloom-work/{uuid.uuid4().hex}/{name}"
+    spark, context = df.sparkSession, df.sparkSession.sparkContext
+    root = _work_root(spark)
+    if getattr(context, "_tabloom_work", None) != root:
+        atexit.register(_clear_at_exit, root, context._jvm, context._jsc.hadoopConfiguration())
+        context._tabloom_work = root
+    path = f"{root}/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if its counted rows are under ``limit``; df should be a work table."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    """``df`` with a broadcast hint if its counted rows are under ``limit`` and their text and binary columns, with 16 bytes
+    for every other, under BROADCAST_BYTES; df should be a work table."""
+    wide = [F.coalesce(F.octet_length(f"`{c}`"), F.lit(0)) for c, k in df.dtypes if k in ("string", "binary")]
+    size = sum(wide, F.lit(16 * len(df.columns)))
+    rows, held = df.limit(limit + 1).agg(F.count("*"), F.sum(size)).first()
+    return F.broadcast(df) if rows <= limit and (held or 0) <= BROADCAST_BYTES else df
+
+
+def spread_join(rows: DataFrame, per_key: DataFrame, key: str, count: str, total: int, by: list[str]) -> DataFrame:
+    """``rows`` joined with ``per_key`` (one row for each key; ``count`` is how many rows have it) without a hot task.
+
+    A key of more than ``most`` rows is dealt out over parts by a hash of ``by``, and its one row is copied to each part. As
+    the counts add up to ``total`` at most, there are at most total / most <= BROADCAST_ROWS such keys: the only thing
+    that is broadcast. ``count`` is not in the result."""
+    most = max(HOT_ROWS, -(-total // BROADCAST_ROWS))
+    parts = F.ceil(F.col(count) / most).cast("int")
+    hot = per_key.where(F.col(count) > most).select(F.col(key).alias("_hot"), parts.alias("_parts"))
+    left = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left")
+    left = left.withColumn("_part", F.coalesce(F.pmod(F.xxhash64(*by), F.col("_parts")), F.lit(0)).cast("int")).drop("_hot", "_parts")
+    right = per_key.withColumn("_part", F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1))).drop(count)
+    return left.join(right, [key, "_part"]).drop("_part")
 
 
 def _ship(spark: SparkSession) -> None:
@@ -59,29 +108,30 @@ def _ship(spark: SparkSession) -> None:
     context._tabloom_shipped = True
 
 
-def arrow_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound the rows (and, where the release knows it, the bytes) of an Arrow batch: texts can be long. Called before
-    each Python stage, so it also sees to it that the executors have the code."""
+def arrow_batches(spark: SparkSession) -> None:
+    """Bound the bytes of an Arrow batch, as texts can be long. Called before each Python stage, so it also sees to it
+    that the executors have the code. The bound is the same for all stages: it acts when a plan runs, not here."""
     _ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
 
 
 def map_rows(df: DataFrame, make: Callable[[], Callable[[dict], dict]], schema: str, rows: int = 1000) -> DataFrame:
-    """Apply a batch function (columns as lists in, columns as lists out) to Arrow batches of ``df``.
+    """Apply a batch function (columns as lists in, columns as lists out) to ``df``, ``rows`` rows at a time.
 
     ``make`` runs once in each Python worker's task and returns the function, so that models are loaded once."""
     spark = df.sparkSession
-    arrow_batches(spark, rows)
+    arrow_batches(spark)
     arrow_schema = _arrow_schema(spark, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         apply = None
-        for batch in batches:
+        for whole in batches:
             if apply is None:
                 apply = make()
-            out = apply({n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)})
-            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow_schema], schema=arrow_schema)
+            for at in range(0, whole.num_rows, rows):
+                batch = whole.slice(at, rows)
+                out = apply({n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)})
+                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow_schema], schema=arrow_schema)
 
     return df.mapInArrow(run, schema)
 

@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import work_table
+from .common import spread_join, work_table
 
 #: the steps halve distances, so this many would do for paths of 2^60 nodes
 MAX_ROUNDS = 60
 
 
-def _least(edges: DataFrame) -> DataFrame:
-    """(a, m): each node's least neighbour or itself; sums up before the shuffle, so a hot node is no hot task."""
-    return edges.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+def _toward_least(edges: DataFrame, n: int) -> DataFrame:
+    """(a, b, m): each of the ``n`` edges with the least neighbour of a, or a itself. The minimum is combined before its
+    shuffle, and the edges of a node with many neighbours are dealt out, so a hot node is no hot task."""
+    per_node = edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+    return spread_join(edges, per_node, "a", "n", n, ["b"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -27,10 +29,10 @@ def components(edges: DataFrame) -> DataFrame:
     for _ in range(MAX_ROUNDS):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # large star: larger neighbours move to the least one
-        large = both.join(_least(both), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = _toward_least(both, 2 * mark[0]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         large = work_table(large, "large")
         # small star: a node and its smaller neighbours move to the least of them
-        star = large.join(_least(large), "a")
+        star = _toward_least(large, large.count())
         small = star.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(star.select("a", F.col("m").alias("b")))
         now = work_table(small.where("a != b").distinct(), "small")
         before, mark = mark, _mark(now)

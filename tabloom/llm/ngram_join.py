@@ -9,12 +9,15 @@ Documents are sets of five-word shingles (64-bit hashes); two texts are linked i
    m of n equal values the similarity has a Beta(m + 1, n - m + 1) posterior, and a pair is dropped when the probability
    that it reaches 0.8 falls below TOLERANCE. What is left is reduced to a spanning forest of each group.
 4. Verification. The candidate components meet once more, with their whole shingle sets: pruned pairs are compared exactly.
-   Of a component only per-text link counts and a spanning forest leave a task, so nothing that grows with the square of a
-   group is ever shuffled or written.
+   Of a component only per-text link counts and a spanning forest leave a task: no pairs are written.
 
 Groups larger than a block are split: a text has a block by hash, and each pair of blocks is a task group of its own, so
-a group of any size never meets in one task. The number of comparisons in a group of g different texts is still of order
-g squared, as exact link counts need it; copies do not count, as they are one text.
+a group of any size never meets in one task. A text is copied once for each block of its group. Blocks grow with their
+group, so there are about 64 of them at most: up to 4 million texts that share a band (then one more for each 65,536), up to
+half a million different texts in one component of candidates (then one more for each 8,192 texts or 32 MB). Up to there
+what is shuffled is at most 64 times the rows; beyond, it grows with the square of the one group. The comparisons in a
+group of g different texts are of order g squared at any size, as exact link counts need them; copies do not count, as
+they are one text. Keys that many rows have (bands, components, copies) are dealt out in joins.
 
 Defined cases: texts without a word (null, empty, white space) link to nothing and are classes of their own; texts of
 fewer than five words are one shingle; copies with equal texts share a class without a link; ties take the least id;
@@ -31,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _arrow_schema, arrow_batches, map_rows, table, work_table
+from .common import _arrow_schema, arrow_batches, map_rows, small, spread_join, table, work_table
 from .components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -39,7 +42,10 @@ BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
 STEPS = (16, 32, 64, 128)
 TOLERANCE = 1e-9
-BLOCK, VERIFY_BLOCK = 1024, 256
+#: blocks of a group: (fewest rows, most rows, bytes); between the bounds a block is a 64th of the group
+BLOCK, VERIFY_BLOCK, BLOCKS = (1024, 65_536, 1 << 40), (128, 8192, 32 << 20), 64
+#: pairs of so many texts by so many are compared at a time
+SUB_BLOCK = 1024
 
 _BASE = 0x9E3779B97F4A7C15
 _U = np.uint64
@@ -137,21 +143,19 @@ def candidates(sig: np.ndarray, rows: np.ndarray, others: np.ndarray) -> tuple[n
     return np.concatenate(left), np.concatenate(right)
 
 
-def _roots(n: int, left: np.ndarray, right: np.ndarray) -> list[int]:
-    """The least member of each one's set, by union-find."""
-    up = list(range(n))
+def _find(up: list[int], x: int) -> int:
+    while up[x] != x:
+        up[x] = up[up[x]]
+        x = up[x]
+    return x
 
-    def find(x: int) -> int:
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
 
+def _join_sets(up: list[int], left: np.ndarray, right: np.ndarray) -> None:
+    """Union-find: the least member is the root of a set."""
     for a, b in zip(left.tolist(), right.tolist(), strict=True):
-        a, b = find(a), find(b)
+        a, b = _find(up, a), _find(up, b)
         if a != b:
             up[max(a, b)] = min(a, b)
-    return [find(x) for x in range(n)]
 
 
 def linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray:
@@ -192,14 +196,30 @@ def _groups(batches, n_keys: int):
         yield rows
 
 
-def _tiled(rows: DataFrame, group: str, size: str, block: int, carry: list[str]) -> DataFrame:
+def _tiled(rows: DataFrame, group: str, block: tuple[int, int, int], carry: list[str]) -> DataFrame:
     """(group, ti, tj, blk, key, carried): a row goes to each pair of blocks that its own block is in, and the pairs are
-    dealt out as groups of their own."""
-    n = F.ceil(F.col(size) / block).cast("int")
+    dealt out as groups of their own. ``n`` and ``bytes`` are the rows and bytes of the row's group."""
+    fewest, most, size = block
+    each = F.least(F.lit(most), F.greatest(F.lit(fewest), F.col("n") / BLOCKS))
+    n = F.greatest(F.ceil(F.col("n") / each), F.ceil(F.col("bytes") / size)).cast("int")
     own = F.pmod(F.xxhash64("key"), n).cast("int")
     placed = rows.withColumn("blk", own).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
     tiles = placed.select(group, F.least("blk", "other").alias("ti"), F.greatest("blk", "other").alias("tj"), "blk", "key", *carry)
-    return tiles.repartition(group, "ti", "tj").sortWithinPartitions(group, "ti", "tj", "key")
+    # the pairs of blocks of a group are counted through, so they fall into as many partitions as there are
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    nth = F.expr("tj * (cast(tj AS bigint) + 1) div 2 + ti")
+    at = F.pmod(F.pmod(F.xxhash64(group), F.lit(partitions)) + nth, F.lit(partitions)).cast("int")
+    return tiles.repartitionById(partitions, at).sortWithinPartitions(group, "ti", "tj", "key")
+
+
+def _parts(rows: np.ndarray, others: np.ndarray):
+    """The pairs of SUB_BLOCK rows and others at most; of a set and itself each pair of parts once."""
+    same = rows is others
+    cut = [rows[i : i + SUB_BLOCK] for i in range(0, len(rows), SUB_BLOCK)]
+    if not same:
+        yield from ((a, others[j : j + SUB_BLOCK]) for a in cut for j in range(0, len(others), SUB_BLOCK))
+    else:
+        yield from ((a, b) for i, a in enumerate(cut) for b in cut[i:])
 
 
 def _sides(rows: list[tuple], ti: int, tj: int, at: int) -> tuple[np.ndarray, np.ndarray]:
@@ -215,19 +235,21 @@ def _candidate_edges(tiles: DataFrame) -> DataFrame:
     spark = tiles.sparkSession
     schema = "a binary, b binary"
     out_schema = _arrow_schema(spark, schema)
-    arrow_batches(spark, 2000)
+    arrow_batches(spark)
 
     def run(batches):
         a, b = [], []
         for rows in _groups(batches, 3):
             _, ti, tj = rows[0][:3]
             sig = np.frombuffer(b"".join(r[5] for r in rows), np.uint32).reshape(len(rows), HASHES)
-            left, right = candidates(sig, *_sides(rows, ti, tj, 3))
-            if len(left):
-                for i, root in enumerate(_roots(len(rows), left, right)):
-                    if i != root:
-                        a.append(rows[i][4])
-                        b.append(rows[root][4])
+            up: list[int] = list(range(len(rows)))
+            for some, others in _parts(*_sides(rows, ti, tj, 3)):
+                _join_sets(up, *candidates(sig, some, others))
+            for i in range(len(rows)):
+                root = _find(up, i)
+                if i != root:
+                    a.append(rows[i][4])
+                    b.append(rows[root][4])
             if len(a) > 5000:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], schema=out_schema)
                 a, b = [], []
@@ -241,24 +263,32 @@ def _verified(tiles: DataFrame, threshold: float) -> DataFrame:
     spark = tiles.sparkSession
     schema = "a binary, b binary, links bigint"
     out_schema = _arrow_schema(spark, schema)
-    arrow_batches(spark, 200)
+    arrow_batches(spark)
 
     def run(batches):
         for rows in _groups(batches, 3):
             _, ti, tj = rows[0][:3]
             grams = [shingles(r[5]) for r in rows]
             sig = np.frombuffer(b"".join(map(signature, grams)), np.uint32).reshape(len(rows), HASHES)
-            left, right = candidates(sig, *_sides(rows, ti, tj, 3))
-            if not len(left):
-                continue
-            good = linked(grams, left, right, threshold)
-            left, right = left[good], right[good]
-            links = np.bincount(left, minlength=len(rows)) + np.bincount(right, minlength=len(rows))
-            roots = _roots(len(rows), left, right)
+            links = np.zeros(len(rows), np.int64)
+            up: list[int] = list(range(len(rows)))
+            for some, others in _parts(*_sides(rows, ti, tj, 3)):
+                left, right = candidates(sig, some, others)
+                if not len(left):
+                    continue
+                at = some if some is others else np.concatenate((some, others))
+                place = np.empty(len(rows), np.int64)
+                place[at] = np.arange(len(at))
+                good = linked([grams[i] for i in at], place[left], place[right], threshold)
+                left, right = left[good], right[good]
+                np.add.at(links, left, 1)
+                np.add.at(links, right, 1)
+                _join_sets(up, left, right)
             at = np.flatnonzero(links).tolist()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([rows[i][4] for i in at], pa.binary()), pa.array([rows[roots[i]][4] for i in at], pa.binary()), pa.array(links[at])], schema=out_schema
-            )
+            if at:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([rows[i][4] for i in at], pa.binary()), pa.array([rows[_find(up, i)][4] for i in at], pa.binary()), pa.array(links[at])], schema=out_schema
+                )
 
     return tiles.mapInArrow(run, schema)
 
@@ -289,35 +319,39 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, key: str = "doc_
                 sig = known.get(k)
                 out["key"].append(k if sig is not None else None)
                 out["sig"].append(sig)
-            return out
+            return out | {"size": [len(t or "") for t in rows["text"]]}
 
         return apply
 
-    members = work_table(map_rows(texts, make, f"doc_id {kind}, key binary, sig binary"), "members")
+    members = work_table(map_rows(texts, make, f"doc_id {kind}, key binary, sig binary, size bigint"), "members")
     keyed = members.where("key IS NOT NULL")
-    sigs = work_table(keyed.select("key", "sig").dropDuplicates(["key"]), "signatures")
+    # one row for each different text: combined before the shuffle, so copies are no hot task
+    each = keyed.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.min("sig").alias("sig"), F.min("size").alias("size"))
+    each = work_table(each, "texts")
+    n_texts, n_rows = each.agg(F.count("*"), F.coalesce(F.sum("copies"), F.lit(0))).first()
     band = F.explode(F.array(*[F.xxhash64(F.lit(b), F.substring("sig", 4 * ROWS * b + 1, 4 * ROWS)) for b in range(BANDS)]))
-    bands = sigs.select("key", band.alias("band"))
-    busy = bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    shared = work_table(bands.join(busy, "band"), "bands")
-    tiles = _tiled(shared.join(sigs, "key"), "band", "n", BLOCK, ["sig"])
-    found = work_table(components(_candidate_edges(tiles)), "candidates")
-    sizes = found.groupBy("root").agg(F.count("*").alias("n"))
-    firsts = keyed.groupBy("key").agg(F.min("doc_id").alias("doc_id"))
-    wanted = found.join(sizes, "root").select(F.col("node").alias("key"), "root", "n").join(firsts, "key")
+    bands = each.select("key", band.alias("band"))
+    busy = bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").withColumn("rows", F.col("n"))
+    shared = work_table(spread_join(bands, busy, "band", "rows", BANDS * n_texts, ["key"]).withColumn("bytes", F.lit(0)), "bands")
+    tiles = _tiled(shared.join(each.select("key", "sig"), "key"), "band", BLOCK, ["sig"])
+    found = components(_candidate_edges(tiles)).withColumnRenamed("node", "key")
+    found = work_table(found.join(each.select("key", "doc_id", "size"), "key"), "candidates")
+    groups = found.groupBy("root").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).withColumn("rows", F.col("n"))
+    wanted = spread_join(found, groups, "root", "rows", n_texts, ["key"])
+    wanted = small(work_table(wanted.select(F.col("key").alias("k"), F.col("doc_id").alias("d"), "root", "n", "bytes"), "wanted"))
     # the whole texts of one document for each candidate; rows that are equal in id and text are one
-    again = texts.join(wanted.select(F.col("key").alias("k"), F.col("doc_id").alias("d"), "root", "n"), (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d")))
-    again = again.select("key", "root", "n", "text").dropDuplicates(["key"])
-    verified = work_table(_verified(_tiled(again, "root", "n", VERIFY_BLOCK, ["text"]), threshold), "links")
+    again = texts.join(wanted, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d")))
+    again = again.select("key", "root", "n", "bytes", "text").dropDuplicates(["key"])
+    verified = work_table(_verified(_tiled(again, "root", VERIFY_BLOCK, ["text"]), threshold), "links")
     links = verified.groupBy(F.col("a").alias("key")).agg(F.sum("links").alias("n_links"))
     roots = components(verified.select("a", "b")).select(F.col("node").alias("key"), "root")
-    classes = firsts.join(roots, "key", "left").join(links, "key", "left").select("key", F.coalesce("root", "key").alias("root"), "doc_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    classes = work_table(classes, "classes")
-    least = classes.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    classes = classes.join(least, "root").select("key", "root", "class_id", "n_links")
-    out = members.select("doc_id", "key").join(classes, "key", "left")
-    own = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("class_id"))
-    return out.select("doc_id", own.alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), "key", "root")
+    classes = each.select("key", "doc_id", "copies").join(roots, "key", "left").join(links, "key", "left")
+    classes = work_table(classes.select("key", F.coalesce("root", "key").alias("root"), "doc_id", "copies", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links")), "classes")
+    least = classes.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("rows"))
+    classes = work_table(spread_join(classes.drop("doc_id"), least, "root", "rows", n_texts, ["key"]), "roots")
+    out = spread_join(keyed.select("doc_id", "key"), classes, "key", "copies", n_rows, ["doc_id"])
+    alone = members.where("key IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"), "key", F.lit(None).cast("binary").alias("root"))
+    return out.select("doc_id", "class_id", "n_links", "key", "root").unionByName(alone)
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

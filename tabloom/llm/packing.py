@@ -276,7 +276,7 @@ def _place(spark: SparkSession, ranked: DataFrame, slots: list[tuple]) -> DataFr
     doc = dict(ranked.dtypes)["doc_id"]
     schema = f"doc_id {doc}, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint"
     out_schema = _arrow_schema(spark, schema)
-    arrow_batches(spark, 10_000)
+    arrow_batches(spark)
 
     def run(batches):
         for b in batches:

@@ -114,7 +114,7 @@ def edited_fingerprints(docs: DataFrame, k: int = K, window: int = WINDOW, key:
     rows = with_successors(docs, key)
     schema = f"doc_id {kind}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_marks bigint"
     out_schema = _arrow_schema(spark, schema)
-    arrow_batches(spark, 500)
+    arrow_batches(spark)
 
     def run(batches):
         held = None  # (bucket, id, text, hashes, distinct hashes, positions) of the row whose successor is awaited

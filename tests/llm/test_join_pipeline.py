@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tabloom.llm import language_id, ngram_join, toxicity
+from tabloom.llm import common, language_id, ngram_join, toxicity
 from tabloom.llm.common import learn_rows, table
 from tabloom.llm.components import components
 
@@ -60,15 +60,59 @@ def near_copies(seed, groups, size):
     return out
 
 
-@pytest.mark.parametrize("blocks", [(1024, 256), (5, 3)])
-def test_join_equals_brute_force(spark, documents, odd, monkeypatch, blocks):
-    monkeypatch.setattr(ngram_join, "BLOCK", blocks[0])
-    monkeypatch.setattr(ngram_join, "VERIFY_BLOCK", blocks[1])
-    rows = [*odd, *near_copies(blocks[0], 25, 14), (50, "a b c"), (51, "a  b c"), (52, "a b d")]
+@pytest.mark.parametrize("small", [False, True])
+def test_join_equals_brute_force(spark, documents, odd, monkeypatch, small):
+    """``small``: blocks of a few rows or bytes, pairs in parts of two by two, and every key with two rows is a hot one."""
+    if small:
+        monkeypatch.setattr(ngram_join, "BLOCK", (4, 5, 1 << 40))
+        monkeypatch.setattr(ngram_join, "VERIFY_BLOCK", (3, 6, 2000))
+        monkeypatch.setattr(ngram_join, "SUB_BLOCK", 2)
+        monkeypatch.setattr(common, "HOT_ROWS", 1)
+    rows = [*odd, *near_copies(5 + small, 25, 14), (50, "a b c"), (51, "a  b c"), (52, "a b d")]
     got = Counter((r.doc_id, r.class_id, r.n_links) for r in ngram_join.jaccard_join(documents(rows)).collect())
     assert got == brute(rows)
 
 
+def test_join_finds_every_pair_of_the_test_documents(spark):
+    docs = table(spark, SF.replace("0.001", "0.01"), "documents")
+    texts = {t: set(shingle_set(t)) for (t,) in docs.select("text").distinct().collect() if t and shingle_set(t)}
+    places, both = defaultdict(list), Counter()
+    names = list(texts)
+    for i, t in enumerate(names):
+        both.update((j, i) for s in texts[t] for j in places[s])
+        for s in texts[t]:
+            places[s].append(i)
+    links = Counter()
+    for (i, j), n in both.items():
+        if n >= 0.8 * (len(texts[names[i]]) + len(texts[names[j]]) - n) - 1e-9:
+            links.update((names[i], names[j]))
+    got = ngram_join.jaccard_join(docs).groupBy("doc_id").agg(F.max("n_links").alias("n")).join(docs.select("doc_id", "text"), "doc_id")
+    assert sum(links.values()) > 0 and all(links[r.text] == r.n for r in got.collect())
+
+
+def test_hot_keys_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 10)
+    rows = spark.range(1000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"), F.col("id").alias("v"))
+    per = rows.groupBy("k").agg(F.count("*").alias("n"), F.max("v").alias("top"))
+    out = common.spread_join(rows, per, "k", "n", 1000, ["v"])
+    assert out.columns == ["k", "v", "top"] and out.count() == 1000 and out.where("k = 0").select("top").distinct().collect()[0][0] == 999
+    assert {tuple(r) for r in out.collect()} == {tuple(r) for r in rows.join(per.drop("n"), "k").collect()}
+
+
+def test_work_tables_need_a_shared_folder_and_can_be_cleared(spark, tmp_path, monkeypatch):
+    class Cluster:
+        conf = type("C", (), {"get": staticmethod(lambda *a: None)})
+        sparkContext = type("S", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        common.shared_dir(Cluster)
+    monkeypatch.setattr(common, "shared_dir", lambda spark: str(tmp_path))
+    assert common.work_table(spark.range(5), "five").count() == 5
+    assert list(tmp_path.rglob("*.parquet"))
+    common.clear_work_tables(spark)
+    assert not list(tmp_path.rglob("*.parquet"))
+
+
 def test_join_of_nothing(spark, documents):
     assert ngram_join.jaccard_join(documents([])).count() == 0
     assert [tuple(r)[:3] for r in ngram_join.jaccard_join(documents([(1, None), (2, " ")])).orderBy("doc_id").collect()] == [(1, 1, 0), (2, 2, 0)]
