@@ -5,8 +5,16 @@ and text gives the cost of calling it content and of calling it boilerplate: the
 Neighbouring blocks, and blocks of one container, are joined by smoothness edges that weaken with their distance in the
 tree. The minimum cut of this graph, found by max-flow, is the labelling of least total cost; content blocks are kept.
 
+The weights of a block's text (length, links, sentence, running words, commas, heading) are learned: blocks whose markup
+tells what they are (inside ``article`` or ``main``, or inside ``nav``, ``footer`` and the like) label themselves, on at
+most TRAIN_PAGES pages chosen by a hash; they are counted by their traits, a bounded table, and a logistic regression is
+fitted to the counts. So pages without such markup are judged by their text and their neighbours. The weights of the
+markup are fixed. Without pages of both labels DEFAULT_TEXT is used.
+
 Character references are decoded, white space within a block becomes one space, blocks are trimmed and joined in page
-order by two line feeds. Scripts, styles, comments, hidden and form elements never give text. ``<br>`` is white space.
+order by two line feeds. Scripts, styles, comments, hidden and form elements never give text, nor does what browsers
+show only if they cannot show an element (inside ``object``, ``canvas``, ``audio``, ``video``, ``iframe``), nor drawings.
+Formulas do, but for their ``annotation``. ``<br>`` is white space.
 
 Defined cases: null and empty html give the empty text; tags that are never closed, closed without being open, or cut off
 at the end are tolerated as browsers do; plain text is one block; repeated pages repeat; extra columns stay out.
@@ -17,9 +25,11 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import deque
+from collections import Counter, deque
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import map_rows, table
 
@@ -30,35 +40,43 @@ _TOKEN = re.compile(
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _SPACES = re.compile(r"\s+")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style noscript template svg math iframe object title textarea select option xmp canvas audio video".split())
-_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr img".split())
+_RAW = frozenset("script style noscript template svg annotation annotation-xml iframe object title textarea select option xmp canvas audio video".split())
+_FORMULA = "math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom msub msup msubsup munder mover munderover mmultiscripts mtable mtr mtd semantics"
+_INLINE = frozenset(f"{_FORMULA} a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr img".split())
 _BOILER_TAGS = frozenset("nav footer aside form button menu dialog fieldset label datalist output head".split())
 _CONTENT_TAGS = frozenset("article main".split())
 _LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th pre blockquote figcaption caption".split())
 _CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 _SELF_CLOSING = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _BOILER_NAME = re.compile(
-    r"(?:^|[\s_-])(?:nav\w*|menu\w*|side-?bar\w*|foot\w*|header|masthead|banner|cookie\w*|consent|notices?|notification|alert|ads?|advert\w*|adslot|promo\w*"
+    r"(?:^|[\s_-])(?:nav\w*|menu\w*|side-?bar\w*|foot\w*|masthead|banner|cookie\w*|consent|notices?|notification|alert|ads?|advert\w*|adslot|promo\w*"
     r"|sponsor\w*|share|sharing|social|related|recommend\w*|comments?|commentlist|disqus|repl(?:y|ies)|respond|newsletter|subscri\w*|signup|breadcrumbs?|widget|popup|modal"
-    r"|overlay|login|search\w*|pagination|pager|skip\w*|legal|copyright|gdpr|toolbar|tags?|trending|popular|paywall|hidden)(?:$|[\s_-])",
+    r"|overlay|login|search\w*|pagination|pager|skip\w*|legal|copyright|gdpr|toolbar|trending|popular|paywall|hidden)(?:$|[\s_-])",
     re.I,
 )
 _CONTENT_NAME = re.compile(r"(?:^|[\s_-])(?:article\w*|content|main|post|entry|story\w*|body|text|prose)(?:$|[\s_-])", re.I)
 _BOILER_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form note".split())
 
-#: the classifier: weights of a block's features in favour of content
-WEIGHTS = {"bias": -0.6, "inside": 3.0, "boiler": -9.0, "named": -6.0, "content": 1.5, "length": 1.2, "sentence": 0.8, "links": -3.5, "heading": 0.5}
+#: names that an article's own parts have as well
+_WEAK_NAME = re.compile(r"(?:^|[\s_-])(?:header|tags?)(?:$|[\s_-])", re.I)
+
+#: the weights of the markup in favour of content
+MARKUP = {"inside": 3.0, "boiler": -9.0, "named": -6.0, "weak": -2.0, "weak_inside": -3.0, "content": 1.5}
+#: bounds of the traits' classes; without labels: weights by (trait, class), and of no trait
+LENGTHS, LINKED, RUNNING = (25, 80, 200), (0.01, 0.5), (0.4, 0.7)
+DEFAULT_TEXT = {None: -1.0, (0, 1): 0.5, (0, 2): 1.2, (0, 3): 2.0, (1, 1): -0.5, (1, 2): -3.0, (2, 1): 0.8, (5, 1): 0.5}
+TRAIN_PAGES, TEXT_BOUND = 2000, 4.0
 ADJACENT, SIBLING, SCALE = 0.5, 0.5, 1000
 
 
 class _Element:
-    __slots__ = ("boiler", "content", "inside", "link", "name", "named", "number", "depth", "parent")
+    __slots__ = ("boiler", "content", "depth", "inside", "link", "name", "named", "number", "parent", "weak")
 
     def __init__(self, name: str, parent: _Element | None, number: int) -> None:
         self.name, self.parent, self.number = name, parent, number
-        self.boiler, self.named, self.inside, self.content, self.link, self.depth = False, False, False, False, False, 0
+        self.boiler, self.named, self.weak, self.inside, self.content, self.link, self.depth = False, False, False, False, False, False, 0
         if parent is not None:
-            self.boiler, self.named, self.inside, self.content, self.link = parent.boiler, parent.named, parent.inside, parent.content, parent.link
+            self.boiler, self.named, self.weak, self.inside, self.content, self.link = parent.boiler, parent.named, parent.weak, parent.inside, parent.content, parent.link
             self.depth = parent.depth + (name not in _INLINE)
 
 
@@ -76,6 +94,8 @@ def _open(name: str, attributes: str, parent: _Element, number: int) -> _Element
         if name not in ("html", "body"):
             if _BOILER_NAME.search(label) and name not in _CONTENT_TAGS:
                 e.named = True
+            elif _WEAK_NAME.search(label) and name not in _CONTENT_TAGS:
+                e.weak = True
             elif _CONTENT_NAME.search(label) or "articlebody" in at.get("itemprop", "").lower():
                 e.content = True
         e.inside = e.inside or role in ("main", "article")
@@ -178,12 +198,69 @@ def blocks(source: str) -> list[Block]:
     return out
 
 
-def evidence(b: Block) -> float:
+def traits(b: Block) -> tuple[int, ...]:
+    """Classes of what the text alone tells: length, share of links, end of a sentence, small words, commas, heading."""
+    n, words = len(b.text), b.text.split()
+    classes = lambda v, bounds: sum(v >= x for x in bounds)
+    running = sum(w[0].islower() for w in words) / len(words)
+    return classes(n, LENGTHS), classes(b.linked / n, LINKED), int(b.text[-1] in ".!?…\"”»:;" and n > 20), classes(running, RUNNING), int("," in b.text), int(b.heading)
+
+
+def weak_label(b: Block) -> int | None:
+    """What the markup alone tells, if it does."""
+    at = b.at
+    if at.boiler or at.named:
+        return 0
+    return 1 if at.inside and not at.weak else None
+
+
+def text_evidence(seen: tuple[int, ...], text: dict) -> float:
+    return max(-TEXT_BOUND, min(TEXT_BOUND, text[None] + sum(text.get((i, v), 0.0) for i, v in enumerate(seen))))
+
+
+def evidence(b: Block, text: dict) -> float:
     """The classifier: positive speaks for content."""
-    w, at, n = WEIGHTS, b.at, len(b.text)
-    z = w["bias"] + w["length"] * min(2.0, n / 100.0) + w["links"] * min(1.0, b.linked / n)
-    z += w["sentence"] * (b.text[-1] in ".!?…\"”»:;" and n > 20) + w["heading"] * b.heading
-    return z + w["inside"] * at.inside + w["boiler"] * at.boiler + w["named"] * at.named + w["content"] * at.content
+    w, at = MARKUP, b.at
+    named = w["named"] if at.named else (w["weak_inside"] if at.inside else w["weak"]) if at.weak else 0.0
+    return text_evidence(traits(b), text) + w["inside"] * at.inside + w["boiler"] * at.boiler + named + w["content"] * at.content
+
+
+def fit_text(counts: dict[tuple[tuple[int, ...], int], int], ridge: float = 1.0) -> dict:
+    """The weights of DEFAULT_TEXT's form from {(traits, label): blocks}: a logistic regression by Newton steps. Both labels
+    weigh the same, as a block's chances should not depend on how many menu entries a site has."""
+    total = [sum(n for (_, y), n in counts.items() if y == k) for k in (0, 1)]
+    if not all(total):
+        return DEFAULT_TEXT
+    names = sorted({(i, v) for seen, _ in counts for i, v in enumerate(seen) if v})
+    x = np.array([[1.0, *[float(seen[i] == v) for i, v in names]] for seen, _ in counts])
+    y = np.array([float(label) for _, label in counts])
+    weight = np.array([n / total[label] for (_, label), n in counts.items()]) * min(sum(total), 10_000) / 2
+    w, penalty = np.zeros(x.shape[1]), ridge * np.diag([1e-6, *np.ones(len(names))])
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + penalty, x.T @ (weight * (y - p)) - penalty @ w)
+        w = w + np.clip(step, -4, 4)
+        if np.abs(step).max() < 1e-8:
+            break
+    return {None: float(w[0])} | {n: float(v) for n, v in zip(names, w[1:], strict=True)}
+
+
+def learn(pages: DataFrame, train_pages: int = TRAIN_PAGES) -> dict:
+    """Text weights from at most about ``train_pages`` pages; a few hundred counts reach the driver."""
+    share = min(1.0, train_pages / max(1, pages.count()))
+    sample = pages.select("html").where(F.pmod(F.xxhash64("html"), F.lit(1_000_000)) < int(share * 1_000_000))
+
+    def make():
+        def apply(rows: dict) -> dict:
+            c: Counter = Counter()
+            for h in rows["html"]:
+                c.update((traits(b), y) for b in blocks(h or "") if (y := weak_label(b)) is not None)
+            return {"seen": [list(t) for t, _ in c], "label": [y for _, y in c], "n": list(c.values())}
+
+        return apply
+
+    found = map_rows(sample, make, "seen array<int>, label int, n bigint").groupBy("seen", "label").agg(F.sum("n")).collect()
+    return fit_text({(tuple(t), y): n for t, y, n in found})
 
 
 def _container(e: _Element) -> _Element:
@@ -267,11 +344,11 @@ def minimum_cut(source: list[int], sink: list[int], edges: list[tuple[int, int,
             a = to[k]
 
 
-def label(found: list[Block]) -> list[bool]:
+def label(found: list[Block], text: dict = DEFAULT_TEXT) -> list[bool]:
     """True for content blocks."""
     source, sink = [], []
     for b in found:
-        z = max(-20.0, min(20.0, evidence(b)))
+        z = max(-20.0, min(20.0, evidence(b, text)))
         # negative log likelihoods: calling it boilerplate costs log(1 + e^z), content log(1 + e^-z)
         source.append(int(SCALE * math.log1p(math.exp(z))))
         sink.append(int(SCALE * math.log1p(math.exp(-z))))
@@ -288,20 +365,22 @@ def label(found: list[Block]) -> list[bool]:
     return minimum_cut(source, sink, [e for e in edges if e[2]])
 
 
-def main_text(source: str | None) -> str:
+def main_text(source: str | None, text: dict = DEFAULT_TEXT) -> str:
     if not source:
         return ""
     found = blocks(source)
-    return "\n\n".join(b.text for b, keep in zip(found, label(found), strict=True) if keep)
+    return "\n\n".join(b.text for b, keep in zip(found, label(found, text), strict=True) if keep)
 
 
-def extract(pages: DataFrame, keys: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
-    """The key columns with text (empty if there is none) and n_chars of every page's whole html."""
+def extract(pages: DataFrame, keys: tuple[str, ...] = ("page_id", "url"), text: dict | None = None) -> DataFrame:
+    """The key columns with text (empty if there is none) and n_chars of every page's whole html. ``text``: weights of a
+    block's text, by default learned from the pages themselves."""
     kinds = dict(pages.dtypes)
+    weights = learn(pages) if text is None else text
 
     def make():
         def apply(rows: dict) -> dict:
-            texts = [main_text(h) for h in rows["html"]]
+            texts = [main_text(h, weights) for h in rows["html"]]
             return {**{k: rows[k] for k in keys}, "text": texts, "n_chars": [len(t) for t in texts]}
 
         return apply

@@ -219,6 +219,40 @@ def test_what_is_not_the_article_goes(extra):
         assert html_extract.main_text(page) == f"Title\n\n{LONG.strip()}"
 
 
+def test_the_articles_own_parts_stay():
+    tagged = f'<article><p>{LONG}</p><div class="story-tags"><p>{LONG}</p></div><div class="tags"><a href=a>one</a> <a href=b>two</a></div></article>'
+    assert html_extract.main_text(tagged) == f"{LONG.strip()}\n\n{LONG.strip()}"
+    formula = f"<article><p>{LONG} It is <math><mi>a</mi><mo>=</mo><mn>2</mn><annotation>a = 2</annotation></math> here.</p></article>"
+    assert html_extract.main_text(formula) == f"{LONG.strip()} It is a=2 here."
+
+
+def test_the_cut_corrects_blocks_of_pages_without_telling_markup(spark):
+    """Tags, classes and roles that tell what a block is are renamed: only text and neighbours are left."""
+    import re
+
+    pages = table(spark, SF.replace("0.001", "0.01"), "pages")
+    weights = html_extract.learn(pages)
+    assert weights is not html_extract.DEFAULT_TEXT and weights[1, 2] < -2  # blocks of links
+    right = {False: 0, True: 0}
+    total = wrongly_flipped = 0
+    for (source,) in pages.select("html").collect():
+        truth = set(html_extract.main_text(source, weights).split("\n\n"))
+        plain = re.sub(r"<(/?)(article|nav|footer|aside|header|main|section|form|figure|dialog|menu)\b([^>]*)>", r"<\1div>", source)
+        found = html_extract.blocks(re.sub(r'\s(class|id|role|aria-\w+|itemprop)="[^"]*"', "", plain))
+        for b, kept in zip(found, html_extract.label(found, weights), strict=True):
+            alone, wanted = html_extract.evidence(b, weights) > 0, b.text in truth
+            right[False] += alone == wanted
+            right[True] += kept == wanted
+            wrongly_flipped += kept != alone == wanted
+            total += 1
+    assert right[True] > right[False] + 10 and wrongly_flipped <= 2 and right[True] / total > 0.9
+
+
+def test_text_weights_without_labels_of_both_kinds(spark):
+    pages = spark.createDataFrame([(1, "u", f"<article><p>{LONG}</p></article>"), (2, None, None)], "page_id bigint, url string, html string")
+    assert html_extract.learn(pages) is html_extract.DEFAULT_TEXT and html_extract.learn(pages.where("false")) is html_extract.DEFAULT_TEXT
+
+
 def test_broken_and_odd_html(spark):
     f = html_extract.main_text
     assert f(None) == f("") == f("   ") == f("<p></p>") == f("<script>never closed") == ""
