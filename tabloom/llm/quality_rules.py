@@ -1,11 +1,14 @@
 """Quality rules whose cutoffs are chosen under risk control (DataFrame functions only).
 
-Every rule rejects a document when an integer ratio of its counts exceeds a cutoff. For each stratum, rule and
-cutoff the labelled holdout gives n good documents and k of them rejected. A cutoff is *safe* when the exact binomial
-test rejects "false-rejection rate >= alpha / rules": P[Bin(n, alpha / rules) <= k] <= delta / tests, where tests is
-strata x rules x cutoffs (Bonferroni). That is the same as the Clopper-Pearson upper bound lying under the rate. The
-strictest safe cutoff of each stratum and rule is used; if none is safe, the rule rejects nothing in that stratum.
-With probability 1 - delta no stratum then loses more than alpha of its good documents to the rules.
+A rule rejects a document when an integer ratio of its counts exceeds a cutoff; a level gives every rule a cutoff, and
+levels go from the loosest to the strictest, so what a level rejects the next one rejects too. For each stratum and level
+the labelled holdout gives n good documents and k of them that any rule rejects. A level is *safe* when the exact
+binomial test rejects "false-rejection rate >= alpha": P[Bin(n, alpha) <= k] <= delta / strata, which is the same as the
+Clopper-Pearson upper bound lying under the rate. Levels are tested in their fixed order, up to the first that is not safe,
+so no error is shared out among them; strata share delta (Bonferroni). As k only grows, the safe levels are all up to the
+last safe one. With probability 1 - delta every safe level of every stratum loses less than alpha of its good documents, so
+any may be taken: the one that rejects the most bad documents beyond the good ones it rejects, the loosest of equals, if
+there are any; else the stratum's base rules stand alone.
 
 Defined cases: null or empty text has no words, so it fails the base rules; a null stratum is a stratum of its own;
 null labels and labels of unknown documents are left out; repeated labels of a document count once, as bad if any says
@@ -21,13 +24,14 @@ from pyspark.sql import functions as F
 
 from .common import let, small, words_of, work_table
 
-#: rule -> (numerator, denominator, cutoffs in per cent of the denominator, loosest first)
+#: rule -> (numerator, denominator, cutoffs in per cent of the denominator at each level, loosest first)
 RULES = {
     "symbols": ("n_symbols", "n_words", (200, 150, 100, 75, 50, 30, 20, 10)),
-    "repeats": ("n_repeat_words", "n_words", (45, 40, 35, 30, 25, 20)),
-    "lines": ("n_dup_lines", "n_lines", (80, 60, 50, 40, 30, 20)),
-    "word_length": ("word_chars", "n_words", (2000, 1500, 1200, 1000, 900, 800)),
+    "repeats": ("n_repeat_words", "n_words", (45, 45, 40, 35, 30, 30, 25, 20)),
+    "lines": ("n_dup_lines", "n_lines", (80, 80, 60, 50, 40, 40, 30, 20)),
+    "word_length": ("word_chars", "n_words", (2000, 2000, 1500, 1200, 1200, 1000, 900, 800)),
 }
+LEVELS = 8
 ALPHA, DELTA = 0.04, 0.05
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 _WINDOW = 3
@@ -110,41 +114,50 @@ def binomial_tail(n: Column, k: Column, rate: float) -> Column:
     return F.when(k >= n * rate, F.lit(1.0)).otherwise(F.exp(first) * ratio)
 
 
-def cutoffs(labelled: DataFrame, stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """(stratum, rule, cutoff, n, k): the strictest safe cutoff of each stratum and rule.
+def _hit(rule: str, level: int) -> Column:
+    top, bottom, grid = RULES[rule]
+    return 100 * F.col(top) > grid[level] * F.col(bottom)
 
-    ``labelled`` has the counts, the stratum and ``quality``; only good documents that pass the base rules matter."""
-    good = labelled.where((F.col("quality") == 1) & ~base_failed())
-    tests = F.array(*[
-        F.struct(F.lit(rule).alias("rule"), F.lit(c).alias("cutoff"), (100 * F.col(top) > c * F.col(bottom)).alias("hit"))
-        for rule, (top, bottom, grid) in RULES.items()
-        for c in grid
-    ])
+
+def levels(labelled: DataFrame, stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """(stratum, level, n, k, bad): the level taken in each stratum that takes one.
+
+    ``labelled`` has the counts, the stratum and ``quality``; only documents that pass the base rules matter."""
+    tests = F.array(*[F.struct(F.lit(t).alias("level"), _any(_hit(r, t) for r in RULES).alias("hit")) for t in range(LEVELS)])
+    good = F.col("quality") == 1
     counts = (
-        good.select(F.col(stratum).alias("stratum"), F.explode(tests).alias("t"))
-        .groupBy("stratum", "t.rule", "t.cutoff")
-        .agg(F.count("*").alias("n"), F.count_if("t.hit").alias("k"))
-    )
-    n_tests = sum(len(g) for *_, g in RULES.values())
+        labelled.where(~base_failed()).select(F.col(stratum).alias("stratum"), "quality", F.explode(tests).alias("t"))
+        .groupBy("stratum", "t.level")
+        .agg(F.count_if(good).alias("n"), F.count_if(good & F.col("t.hit")).alias("k"), F.count_if((F.col("quality") == 0) & F.col("t.hit")).alias("bad"))
+        .where("n > 0")
+    )
     name = F.coalesce(F.concat(F.lit("="), F.col("stratum").cast("string")), F.lit("null"))
-    # the window runs over strata x rules x cutoffs, not documents
+    # the window runs over strata x levels, not documents
     tested = counts.withColumn("strata", F.size(F.collect_set(name).over(Window.partitionBy(F.lit(1)))))
-    tail = binomial_tail(F.col("n"), F.col("k"), alpha / len(RULES))
-    return tested.where(tail <= delta / (n_tests * F.col("strata"))).groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff"))
+    safe = tested.where((binomial_tail(F.col("n"), F.col("k"), alpha) <= delta / F.col("strata")) & (F.col("bad") > F.col("k")))
+    best = safe.groupBy("stratum").agg(F.max(F.struct((F.col("bad") - F.col("k")).alias("gain"), (-F.col("level")).alias("loose"), "n", "k", "bad")).alias("b"))
+    return best.select("stratum", (-F.col("b.loose")).alias("level"), "b.n", "b.k", "b.bad")
+
+
+def _any(conditions) -> Column:
+    out = F.lit(False)
+    for c in conditions:
+        out = out | F.coalesce(c, F.lit(False))
+    return out
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """docs' columns but text, with the counts, base_failed, rejected_by (array of rule names) and kept."""
+    """doc_id and the stratum with the counts, base_failed, level (null without one), rejected_by (array of rule names) and kept."""
     keep = docs.select("doc_id", F.col(stratum).alias("_s"), "text")
     counts = work_table(text_counts(keep), "counts")
     truth = labels.where(F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    chosen = work_table(cutoffs(counts.join(truth, "doc_id"), "_s", alpha, delta), "cutoffs")
-    wide = chosen.groupBy("stratum").agg(*[F.min(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"_{r}") for r in RULES])
-    out = counts.join(small(wide), F.col("_s").eqNullSafe(F.col("stratum")), "left")
-    hits = F.array(*[F.when(100 * F.col(t) > F.col(f"_{r}") * F.col(b), F.lit(r)) for r, (t, b, _) in RULES.items()])
+    chosen = work_table(levels(counts.join(truth, "doc_id"), "_s", alpha, delta), "levels")
+    out = counts.join(small(chosen.select("stratum", "level")), F.col("_s").eqNullSafe(F.col("stratum")), "left")
+    at = lambda grid: F.element_at(F.array(*[F.lit(c) for c in grid]), F.col("level") + 1)
+    hits = F.array(*[F.when(100 * F.col(t) > at(grid) * F.col(b), F.lit(r)) for r, (t, b, grid) in RULES.items()])
     return out.select(
         "doc_id", F.col("_s").alias(stratum), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines",
-        base_failed().alias("base_failed"), F.array_compact(hits).alias("rejected_by"),
+        base_failed().alias("base_failed"), "level", F.array_compact(hits).alias("rejected_by"),
     ).withColumn("kept", ~F.col("base_failed") & (F.size("rejected_by") == 0))
 
 
@@ -156,10 +169,8 @@ def op1_quality_rules(spark, sf_dir: str) -> DataFrame:
 
 
 def _oracle() -> str:
-    rate, n_tests = ALPHA / len(RULES), sum(len(g) for *_, g in RULES.values())
-    grid = ", ".join(f"('{r}', {c})" for r, (_, _, g) in RULES.items() for c in g)
-    top = "CASE rule " + " ".join(f"WHEN '{r}' THEN {t}" for r, (t, _, _) in RULES.items()) + " END"
-    bottom = "CASE rule " + " ".join(f"WHEN '{r}' THEN {b}" for r, (_, b, _) in RULES.items()) + " END"
+    grid = ", ".join(f"({t}, {', '.join(str(g[t]) for *_, g in RULES.values())})" for t in range(LEVELS))
+    hit = " OR ".join(f"100 * {top} > c_{r} * {bottom}" for r, (top, bottom, _) in RULES.items())
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS t,
                   regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -173,15 +184,16 @@ f AS (SELECT d.rid, doc_id, lang, len(w)::BIGINT AS n_words, length(array_to_str
              coalesce(lines.n, 0)::BIGINT AS n_lines, coalesce(lines.n - lines.u, 0)::BIGINT AS n_dup_lines, coalesce(cov.n, 0)::BIGINT AS n_repeat_words
       FROM d LEFT JOIN lines ON lines.rid = d.rid LEFT JOIN cov ON cov.rid = d.rid),
 b AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM f),
-g AS (SELECT b.* FROM b JOIN (SELECT doc_id, min(quality) AS quality FROM labels WHERE quality IS NOT NULL GROUP BY doc_id) l
-      ON l.doc_id = b.doc_id WHERE l.quality = 1 AND NOT base_failed),
-grid(rule, cutoff) AS (VALUES {grid}),
-c AS (SELECT lang, rule, cutoff, count(*) AS n, count(*) FILTER (WHERE 100 * ({top}) > cutoff * ({bottom})) AS k FROM g, grid GROUP BY ALL),
-p AS (SELECT *, CASE WHEN k >= n * {rate!r} THEN 1.0 ELSE list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1)
-      - lgamma(n - i + 1) + i * ln({rate!r}) + (n - i) * ln(1 - {rate!r})))) END AS tail,
-      (SELECT count(*) FROM (SELECT DISTINCT lang FROM g)) AS strata FROM c),
-s AS (SELECT lang, rule, min(cutoff) AS cutoff FROM p WHERE tail <= {DELTA} / ({n_tests} * strata) GROUP BY lang, rule),
-bad AS (SELECT DISTINCT rid FROM b JOIN s ON s.lang IS NOT DISTINCT FROM b.lang WHERE 100 * ({top}) > cutoff * ({bottom}))
+g AS (SELECT b.*, l.quality FROM b JOIN (SELECT doc_id, min(quality) AS quality FROM labels WHERE quality IS NOT NULL GROUP BY doc_id) l
+      ON l.doc_id = b.doc_id WHERE NOT base_failed),
+grid(level, {", ".join(f"c_{r}" for r in RULES)}) AS (VALUES {grid}),
+c AS (SELECT lang, level, count(*) FILTER (WHERE quality = 1) AS n, count(*) FILTER (WHERE quality = 1 AND ({hit})) AS k,
+             count(*) FILTER (WHERE quality = 0 AND ({hit})) AS bad FROM g, grid GROUP BY ALL HAVING count(*) FILTER (WHERE quality = 1) > 0),
+p AS (SELECT *, CASE WHEN k >= n * {ALPHA!r} THEN 1.0 ELSE list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1)
+      - lgamma(n - i + 1) + i * ln({ALPHA!r}) + (n - i) * ln(1 - {ALPHA!r})))) END AS tail,
+      (SELECT count(*) FROM (SELECT DISTINCT lang FROM c)) AS strata FROM c),
+s AS (SELECT lang, level FROM p WHERE tail <= {DELTA} / strata AND bad > k QUALIFY row_number() OVER (PARTITION BY lang ORDER BY bad - k DESC, level) = 1),
+bad AS (SELECT DISTINCT rid FROM b JOIN s ON s.lang IS NOT DISTINCT FROM b.lang JOIN grid USING (level) WHERE {hit})
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND bad.rid IS NULL AS kept
 FROM b LEFT JOIN bad ON bad.rid = b.rid"""
 
