@@ -26,8 +26,11 @@ from .common import small, table, work_table
 
 #: host, path prefix, verdict: the production rules
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
-#: URLs listed as unwanted (an advertising tracker): they decide where no rule fits. A longer list comes as a table, see ``unwanted``
-LISTED = (("ads-track.example.com", "/", "block"),)
+#: hosts listed as unwanted, made by a rule: two different words with a hyphen between, before one of the endings. They decide
+#: where no rule fits. A list with a source comes as a table, see ``unwanted``
+UNWANTED_WORDS = ("ads", "adult", "bets", "casino", "cheap", "farm", "free", "lotto", "pills", "poker", "porn", "slots", "spam", "track", "win", "x")
+UNWANTED_ENDINGS = ("com", "net", "org", "info", "biz", "example.com", "example.net", "example.org")
+LISTED = tuple((f"{a}-{b}.{end}", "/", "block") for a in UNWANTED_WORDS for b in UNWANTED_WORDS if a != b for end in UNWANTED_ENDINGS)
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORDS, _SALT = 4, 7919
 
@@ -80,11 +83,11 @@ def unwanted(urls: DataFrame, verdict: str = "block") -> DataFrame:
 
 
 def listing(spark: SparkSession, rules=RULES, listed=LISTED) -> DataFrame:
-    """(host, path, verdict, rank): rank 1 for rules, 0 for plain entries."""
+    """(host, path, verdict, rank): rank 1 for rules, 0 for plain entries. For lists that a program holds; longer ones are
+    tables from the start."""
     rows = [(*r, 1) for r in rules] + [(*r, 0) for r in listed]
-    names = ("host", "path", "verdict", "rank")
-    structs = [F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row, strict=True)]) for row in rows]
-    return spark.range(1).select(F.inline(F.array(*structs)))
+    lists = [F.array(*[F.lit(x) for x in column]) for column in zip(*rows, strict=True)] if rows else [F.array().cast(k) for k in ("array<string>",) * 3 + ("array<int>",)]
+    return spark.range(1).select(F.inline(F.arrays_zip(*[c.alias(n) for c, n in zip(lists, ("host", "path", "verdict", "rank"), strict=True)])))
 
 
 def _masks(key: Column) -> list[Column]:
