@@ -10,8 +10,10 @@ class, salt of the document, doc_id), so that the prefix sum of expected copies
 With one offset u of the source it is emitted once for each integer in (r * k + u, r * (k + 1) + u]: floor(r) or ceil(r)
 times. As the order runs through the sizes, the taken words come near the target.
 
-The rank needs no task that holds a whole source: documents are counted by (source, size class, salt), a bounded number
-of cells for each source, whose prefix sums are added to the row number within the cell.
+The rank needs no task that holds a whole source: documents are counted by (source, size class), a class gets a salt for
+each CELLS-th of all documents that it holds, and the prefix sums of the cells' counts are added to the row number within
+the cell. So there are at most CELLS cells more than classes, and none has much more than a CELLS-th of the documents.
+Ranks are made of ids, sizes and digests; whole rows are joined with their copies afterwards.
 
 Defined cases: null text has size 0; a null source is a source of its own, last in order; a source of size 0 has target 0
 and nothing is taken; repeated rows and equal doc_ids are documents of their own (equal rows are interchangeable);
@@ -28,15 +30,16 @@ from .common import n_words_of, small, table, work_table
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
 SEED = "mix-1"
-#: size classes of one source are halves of powers of two, and each class is split over this many salts
-SALTS = 64
+#: size classes of one source are halves of powers of two; a cell is a CELLS-th of all documents, but not under MIN_CELL
+CELLS, MIN_CELL = 20_000, 256
 _STEPS = 1 << 20
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
     """(source, source_size, target) from (source, source_size); one row for each source comes in and goes out.
 
-    The windows without keys run over sources, not documents."""
+    The windows without keys run over sources, not documents: one task holds a few numbers for each source, which is
+    meant for up to some millions of sources."""
     order = Window.orderBy(F.col("source").asc_nulls_last())
     nth = (F.row_number().over(order) - 1) % len(weights)
     weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (nth + 1).cast("int")).cast("bigint")
@@ -59,30 +62,43 @@ def _digest(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat(*parts)), 1, 15), 16, 10).cast("bigint")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS, seed: str = SEED, key: str = "doc_id", carry: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, source, carried columns, size, source_size, target, copies): copies is how often the mix takes the document."""
+def _mixed(docs: DataFrame, weights: tuple[int, ...], max_repeats: int, seed: str, key: str) -> DataFrame:
+    """(doc_id, source, size, digest, source_size, target, copies)"""
     name = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null"))
     size = F.col("size")
     half = F.when(size > 0, F.floor(F.log2(size.cast("double")) * 2)).otherwise(F.lit(-1)).cast("int")
-    sized = docs.select(F.col(key).alias("doc_id"), F.col("source").cast("string").alias("source"), *[F.col(c).alias(f"_c_{c}") for c in carry], n_words_of(F.col("text")).alias("size"))
-    sized = sized.withColumn("class", half).withColumn("salt", (_digest(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % SALTS).cast("int"))
-    if not carry:
-        sized = work_table(sized, "sized")  # else the texts would be written too
-    cells = work_table(sized.groupBy("source", "class", "salt").agg(F.count("*").alias("n"), F.sum("size").alias("words")), "cells")
-    goal = small(work_table(targets(cells.groupBy("source").agg(F.sum("words").alias("source_size")), weights, max_repeats), "targets"))
+    sized = docs.select(F.col(key).alias("doc_id"), F.col("source").cast("string").alias("source"), n_words_of(F.col("text")).alias("size"), digest_of(F.col(key), F.col("text"), seed).alias("digest"))
+    sized = work_table(sized.withColumn("class", half), "sized")
+    classes = work_table(sized.groupBy("source", "class").agg(F.count("*").alias("n"), F.sum("size").alias("words")), "classes")
+    total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    salts = classes.select("source", "class", F.ceil(F.col("n") / max(MIN_CELL, -(-total // CELLS))).cast("bigint").alias("salts"))
+    goal = small(work_table(targets(classes.groupBy("source").agg(F.sum("words").alias("source_size")), weights, max_repeats), "targets"))
+    same = lambda a, b, cols: _all([a[c].eqNullSafe(b[c]) for c in cols])
+    few = small(work_table(salts, "salts"))
+    salted = sized.join(few, same(sized, few, ["source", "class"])).select(*[sized[c] for c in sized.columns], (F.col("digest") % F.col("salts")).alias("salt"))
+    cells = work_table(salted.groupBy("source", "class", "salt").agg(F.count("*").alias("n")), "cells")
     in_source = Window.partitionBy("source").orderBy("class", "salt").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.withColumn("before", F.coalesce(F.sum("n").over(in_source), F.lit(0)))
-    same = lambda a, b, cols: _all([a[c].eqNullSafe(b[c]) for c in cols])
     placed = cells.join(goal, same(cells, goal, ["source"]), "left").select(cells["source"], "class", "salt", "before", "source_size", "target")
     placed = small(work_table(placed, "placed"))
-    at = Window.partitionBy("source", "class", "salt").orderBy(F.col("doc_id").asc_nulls_first(), "size", *[F.xxhash64(f"_c_{c}") for c in carry])
-    ranked = sized.withColumn("row", F.row_number().over(at) - 1)
+    at = Window.partitionBy("source", "class", "salt").orderBy(F.col("doc_id").asc_nulls_first(), "size", "digest")
+    ranked = salted.withColumn("row", F.row_number().over(at) - 1)
     j = ranked.join(placed, same(ranked, placed, ["source", "class", "salt"]), "left").select(*[ranked[c] for c in ranked.columns], "before", "source_size", "target")
     rank = (F.col("before") + F.col("row")).cast("double")
     r = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     u = (_digest(F.lit(f"{seed}/"), name) % _STEPS).cast("double") / _STEPS  # a multiple of 2^-20: sums with ranks are exact
     copies = F.least(F.floor(r * (rank + 1) + u) - F.floor(r * rank + u), F.lit(max_repeats))
-    return j.select("doc_id", "source", *[F.col(f"_c_{c}") for c in carry], "size", "source_size", F.col("target"), copies.cast("bigint").alias("copies"))
+    return j.select("doc_id", "source", "size", "digest", "source_size", "target", copies.cast("bigint").alias("copies"))
+
+
+def digest_of(key: Column, text: Column, seed: str = SEED) -> Column:
+    """What a document's salt is taken from; ties of id and size stand in its order."""
+    return _digest(F.lit(seed), F.coalesce(key.cast("string"), F.lit("")), F.md5(F.coalesce(text, F.lit(""))))
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS, seed: str = SEED, key: str = "doc_id") -> DataFrame:
+    """(doc_id, source, size, source_size, target, copies): copies is how often the mix takes the document."""
+    return _mixed(docs, weights, max_repeats, seed, key).drop("digest")
 
 
 def _all(conditions: list[Column]) -> Column:
@@ -92,11 +108,23 @@ def _all(conditions: list[Column]) -> Column:
     return out
 
 
-def take(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it; the texts are shuffled once."""
-    mixed = mix(docs, carry=tuple(c for c in docs.columns if c not in ("doc_id", "source")), **options)
-    out = mixed.where(F.col("copies") > 0).withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return out.select(*[F.col(c) if c in ("doc_id", "source") else F.col(f"_c_{c}").alias(c) for c in docs.columns])
+def take(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS, seed: str = SEED, key: str = "doc_id") -> DataFrame:
+    """The rows of docs, each as often as the mix takes it; the texts are shuffled once.
+
+    Rows are joined with their copies by id, source and text. Rows equal in these share the copies of their group: as
+    many each as divide evenly, and one more for the first ones."""
+    mixed = _mixed(docs, weights, max_repeats, seed, key)
+    group = lambda d, source, digest: F.xxhash64(d, source, digest)
+    columns = (F.col("doc_id"), F.col("source"), F.col("digest"))
+    copies = mixed.groupBy(group(*columns).alias("_g"), *[c.alias(f"_{n}") for c, n in zip(columns, "dsh", strict=True)]).agg(F.sum("copies").alias("_t"), F.count("*").alias("_m")).where("_t > 0")
+    whole = docs.select(*[F.col(f"`{c}`").alias(f"c_{c}") for c in docs.columns], digest_of(F.col(key), F.col("text"), seed).alias("_x"))
+    whole = whole.withColumn("_y", group(F.col(f"c_{key}"), F.col("c_source").cast("string"), F.col("_x")))
+    hit = (F.col("_y") == F.col("_g")) & (F.col("_x") == F.col("_h")) & F.col(f"c_{key}").eqNullSafe(F.col("_d")) & F.col("c_source").cast("string").eqNullSafe(F.col("_s"))
+    both = whole.join(copies, hit)
+    first = Window.partitionBy("_y", "_x").orderBy(*[F.xxhash64(f"c_{c}") for c in docs.columns if c not in (key, "source", "text")] or [F.lit(0)])
+    n = F.when(F.col("_m") == 1, F.col("_t")).otherwise(F.floor(F.col("_t") / F.col("_m")) + (F.row_number().over(first) <= F.col("_t") % F.col("_m")).cast("bigint")).cast("int")
+    out = both.withColumn("_n", n).where("_n > 0").withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n"))))
+    return out.select(*[F.col(f"`c_{c}`").alias(c) for c in docs.columns])
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,9 +133,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL = rf"""
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
-k AS (SELECT *, CASE WHEN size > 0 THEN floor(log2(size) * 2)::INT ELSE -1 END AS class,
-             (('0x' || substr(md5('{SEED}' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT % {SALTS})::INT AS salt FROM d),
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+                  ('0x' || substr(md5('{SEED}' || coalesce(doc_id::VARCHAR, '') || md5(coalesce(text, ''))), 1, 15))::BIGINT AS digest FROM documents),
+c AS (SELECT *, CASE WHEN size > 0 THEN floor(log2(size) * 2)::INT ELSE -1 END AS class FROM d),
+k AS (SELECT *, digest % ceil(count(*) OVER (PARTITION BY source, class) / greatest({MIN_CELL}, ceil(count(*) OVER () / {CELLS})))::BIGINT AS salt FROM c),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, ([{", ".join(map(str, WEIGHTS))}])[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(WEIGHTS)} + 1] AS weight,
              {MAX_REPEATS} * source_size AS cap, sum(source_size) OVER () AS total FROM s),
@@ -115,7 +144,7 @@ l AS (SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY cap / weight, source N
              / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::DOUBLE AS level FROM w),
 o AS (SELECT min(level) AS level FROM (SELECT level FROM l WHERE cap > level * weight ORDER BY cap / weight, source NULLS LAST LIMIT 1)),
 t AS (SELECT source, source_size, CASE WHEN cap <= coalesce(o.level, 'inf'::DOUBLE) * weight THEN cap::DOUBLE ELSE o.level * weight END AS target FROM l, o),
-r AS (SELECT k.*, t.source_size, t.target, (row_number() OVER (PARTITION BY k.source ORDER BY class, salt, doc_id NULLS FIRST, size) - 1)::DOUBLE AS rnk,
+r AS (SELECT k.*, t.source_size, t.target, (row_number() OVER (PARTITION BY k.source ORDER BY class, salt, doc_id NULLS FIRST, size, digest) - 1)::DOUBLE AS rnk,
              CASE WHEN t.source_size > 0 THEN target / t.source_size ELSE 0 END AS ratio,
              (('0x' || substr(md5('{SEED}/' || coalesce('=' || k.source, 'null')), 1, 15))::BIGINT % {_STEPS})::DOUBLE / {_STEPS} AS u
       FROM k JOIN t ON t.source IS NOT DISTINCT FROM k.source)
