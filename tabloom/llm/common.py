@@ -158,6 +158,14 @@ def n_words_of(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("bigint")
 
 
+def free_name(name: str, columns: list[str]) -> str:
+    """``name``, with underscores before it until no column has it (Spark tells no case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def learn_rows(doc_id: Column, mod: int, held: int) -> Column:
     """True where crc32(doc_id as text) mod ``mod`` is not ``held``; a null id is never held out."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % mod != held, F.lit(True))

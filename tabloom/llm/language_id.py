@@ -123,8 +123,8 @@ def learn(labelled: DataFrame, min_share: float = MIN_SHARE, ratio: float = RATI
     return LanguageFilter(languages, rows.gram.to_numpy(np.int64).astype(np.uint64), owners, min(languages, key=lambda x: -sizes[x]))
 
 
-def identify(docs: DataFrame, model: LanguageFilter, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The carried columns with lang_pred and score of every whole text; only the text is looked at."""
+def identify(docs: DataFrame, model: LanguageFilter, carry: tuple[str, ...] = ("doc_id",), out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The carried columns with language and score of every whole text, named by ``out``; only the text is looked at."""
     kinds = dict(docs.dtypes)
     held = docs.sparkSession.sparkContext.broadcast(model)  # the slots: a fixed size, whatever the corpus
 
@@ -132,13 +132,15 @@ def identify(docs: DataFrame, model: LanguageFilter, carry: tuple[str, ...] = ("
         judge = held.value.judge
 
         def apply(rows: dict) -> dict:
-            found = [judge(t) for t in rows["text"]]
-            return {**{c: rows[c] for c in carry}, "lang_pred": [x for x, _ in found], "score": [s for _, s in found]}
+            found = [judge(t) for t in rows["t"]]
+            return {**{f"c_{c}": rows[f"c_{c}"] for c in carry}, "x": [x for x, _ in found], "s": [s for _, s in found]}
 
         return apply
 
-    wanted = [*carry, *(() if "text" in carry else ("text",))]
-    return map_rows(docs.select(*wanted), make, ", ".join([*(f"`{c}` {kinds[c]}" for c in carry), "lang_pred string, score double"]))
+    # names of our own on the way, so that carried columns may have any
+    given = docs.select(*[F.col(f"`{c}`").alias(f"c_{c}") for c in carry], F.col("text").alias("t"))
+    found = map_rows(given, make, ", ".join([*(f"`c_{c}` {kinds[c]}" for c in carry), "x string, s double"]))
+    return found.select(*[F.col(f"`c_{c}`").alias(c) for c in carry], F.col("x").alias(out[0]), F.col("s").alias(out[1]))
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

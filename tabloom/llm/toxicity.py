@@ -12,9 +12,13 @@ first reached. A stem matches when it is the start of a word. Most words reach t
 Density. A unit counts for a document of the lexicon's statistics, and a match for its score, by how large a share of the
 words it is: in a long text some chance matches are nothing, in a short one they are much.
 
-Context. A match counts as quoted if quotation marks open around it or half of the marks in its window are quotes; quoted
-matches, exact and misspelled ones have weights of their own, learned as log likelihood ratios of their presence in toxic
-and clean rows, as has the number of matches in a window. The score is the logistic function of the prior and the weights.
+Context. Every match has a score of its window, the WINDOW words before and after it: MARKS if quotation marks open before
+and close after it there, without another mark of the other kind between, ATTRIBUTED if a word of attribution is there
+("said", "wrote"), and COMPANY for each match in the window that no marks enclose, up to two. A match that reaches QUOTED is
+quotation, any other is abuse: so a stray mark elsewhere changes nothing, and an insult beside the quotation speaks against
+it. Quoted, exact, misspelled and masked matches have weights of their own, learned as log likelihood ratios of their
+presence in toxic and clean rows, as has the number of matches in a window; where labels have no quotation, a quoted term
+weighs QUOTED_SHARE of the term itself.
 
 Defined cases: null and empty texts score as texts without a match; null labels and labels of unknown documents are left
 out; of repeated labels the toxic one counts; with no toxic or no clean row to learn from every score is the prior
@@ -39,7 +43,14 @@ UNIT_DENSITY, DENSITIES = 300, (400, 150, 60)
 STEMS = range(4, 8)
 _EDGE = "\"'“”„«»‹›‘’()[]{}<>.,;:!?…-–—*_~`"
 _QUOTES = "\"“”„«»‹›"
-_MAX_CLEAN = 200_000
+#: the score of a match's window
+MARKS, ATTRIBUTED, COMPANY, QUOTED, QUOTED_SHARE = 1.0, 0.5, -0.5, 1.0, 0.25
+ATTRIBUTION = frozenset(
+    "said says say saying wrote writes written called calls quoted quotes quote word words term phrase insult claimed reported sagte sagt schrieb schreibt nannte wort zitat dijo dice"
+    " escribió escribe llamó palabra cita dit disait écrit écrivait appelé mot citation".split()
+)
+#: what a worker keeps of words without a match, of MAX_RUN characters at most (some 50 MB), and of automaton states
+_MAX_CLEAN, _MAX_RUN, _MAX_STATES = 200_000, 64, 50_000
 
 
 def distance_for(term: str) -> int:
@@ -67,12 +78,15 @@ class Matcher:
                 self.reach[node] = max(self.reach[node], d)
             self.words[node].append(i)
         self.letters = {c for x in self.children for c in x}
+        self.clean: set[str] = set()
+        self._reset()
+
+    def _reset(self) -> None:
         start = self._closed({0: 0})
         self.ids = {start: 0}
         self.states = [start]
         self.steps: list[dict[str, int]] = [{}]
         self.hits = [self._ends(start)]
-        self.clean: set[str] = set()
 
     def _closed(self, at: dict[int, int]) -> frozenset:
         """Letters of a term may be missing in the word: follow them at a cost of one each."""
@@ -130,13 +144,15 @@ class Matcher:
 
     def find(self, text: str) -> list[tuple[int, int, int]]:
         """(word number, term, distance) of the matches of a lower-cased text, in order."""
+        if len(self.states) > _MAX_STATES:
+            self._reset()
         runs = text.split()
         hits = {}
         for run in set(runs).difference(self.clean):
             word = run.strip(_EDGE)
             if word and (found := self.match(word)):
                 hits[run] = found
-            else:
+            elif len(run) <= _MAX_RUN:
                 self.clean.add(run)
         if len(self.clean) > _MAX_CLEAN:
             self.clean.clear()
@@ -160,19 +176,11 @@ def features(text: str | None, matcher: Matcher) -> set[tuple[int, int, int]]:
     runs = lowered.split()
     out: set[tuple[int, int, int]] = set()
     counts: Counter = Counter()
-    opened = False
-    state, at = [], {n for n, *_ in found}
-    for n, run in enumerate(runs):
-        if n in at:
-            opens = any(run.startswith(q) for q in _QUOTES) or opened
-            state.append((n, opens))
-        if any(q in run for q in _QUOTES):
-            opened ^= sum(run.count(q) for q in _QUOTES) % 2 == 1
-    quoted = dict(state)
+    quoted = _quoted(runs, sorted({n for n, *_ in found}))
     kinds = [(n, i, 0 if not e else 3 if _masked(runs[n].strip(_EDGE)) else 1) for n, i, e in found]
     firm = sorted({n for n, _, kind in kinds if kind != 1})
     for n, i, kind in kinds:
-        if quoted[n] and not opened:  # marks that never close are no quotation
+        if n in quoted:
             counts[i, 2] += 1
             continue
         counts[i, kind] += 1
@@ -182,6 +190,44 @@ def features(text: str | None, matcher: Matcher) -> set[tuple[int, int, int]]:
     return out | {(i, kind, _density(c, len(runs))) for (i, kind), c in counts.items()}
 
 
+def _marks(run: str) -> tuple[bool, bool]:
+    """Whether quotation marks stand before and after the word of a run; a run without a word has none."""
+    word = run.strip(_EDGE)
+    at = run.find(word) if word else 0
+    return any(c in _QUOTES for c in run[:at]), bool(word) and any(c in _QUOTES for c in run[at + len(word) :])
+
+
+def _quoted(runs: list[str], at: list[int]) -> set[int]:
+    """The matches (word numbers, sorted) that their windows tell to be quotation."""
+    enclosed = set()
+    for n in at:
+        opens = closes = False
+        for j in range(n, max(-1, n - WINDOW - 1), -1):
+            before, after = _marks(runs[j])
+            if j < n and after:
+                break
+            if before:
+                opens = True
+                break
+        for j in range(n, min(len(runs), n + WINDOW + 1)) if opens else ():
+            before, after = _marks(runs[j])
+            if j > n and before:
+                break
+            if after:
+                closes = True
+                break
+        if closes:
+            enclosed.add(n)
+    free = [n for n in at if n not in enclosed]
+    out = set()
+    for n in at:
+        company = bisect.bisect_right(free, n + WINDOW) - bisect.bisect_left(free, n - WINDOW) - (n not in enclosed)
+        told = any(r.strip(_EDGE) in ATTRIBUTION for r in runs[max(0, n - WINDOW) : n + WINDOW + 1])
+        if MARKS * (n in enclosed) + ATTRIBUTED * told + COMPANY * min(2, company) >= QUOTED:
+            out.add(n)
+    return out
+
+
 def _masked(word: str) -> bool:
     return not word.isalpha() or any(word[i] == word[i + 1] == word[i + 2] for i in range(len(word) - 2))
 
@@ -280,7 +326,7 @@ def learn(labelled: DataFrame, train_rows: int = TRAIN_ROWS, min_share: float =
                 if k == 3 and not b and not g:  # a masked term that was never seen counts half of the term itself
                     weights[i, k, d] = 0.5 * max(0.0, weights[i, 0, d])
                 if k == 2 and not total(1, 2, d) and not total(0, 2, d):
-                    weights[i, k, d] = 0.0
+                    weights[i, k, d] = QUOTED_SHARE * max(0.0, weights[i, 0, d])
     ratio = lambda c: math.log((seen.get((1, -1, c, 0), 0) + 0.5) / (n_bad + 1)) - math.log((seen.get((0, -1, c, 0), 0) + 0.5) / (n_good + 1))
     for c in range(1, 4):  # what company adds to a single match, which its own weight tells
         weights[-1, c, 0] = max(0.0, ratio(c) - ratio(1)) if c > 1 else 0.0
@@ -299,17 +345,19 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_RO
     return work_table(rows.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic")), "labelled")
 
 
-def score(docs: DataFrame, scorer: Scorer, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The carried columns with the score of every whole text; only the text is looked at."""
+def score(docs: DataFrame, scorer: Scorer, carry: tuple[str, ...] = ("doc_id",), out: str = "score") -> DataFrame:
+    """The carried columns with the score of every whole text as ``out``; only the text is looked at."""
     kinds = dict(docs.dtypes)
     held = docs.sparkSession.sparkContext.broadcast(scorer)  # terms and weights
 
     def make():
         one = held.value.score
-        return lambda rows: {**{c: rows[c] for c in carry}, "score": [one(t) for t in rows["text"]]}
+        return lambda rows: {**{f"c_{c}": rows[f"c_{c}"] for c in carry}, "z": [one(t) for t in rows["t"]]}
 
-    wanted = [*carry, *(() if "text" in carry else ("text",))]
-    return map_rows(docs.select(*wanted), make, ", ".join([*(f"`{c}` {kinds[c]}" for c in carry), "score double"]))
+    # names of our own on the way, so that carried columns may have any
+    given = docs.select(*[F.col(f"`{c}`").alias(f"c_{c}") for c in carry], F.col("text").alias("t"))
+    found = map_rows(given, make, ", ".join([*(f"`c_{c}` {kinds[c]}" for c in carry), "z double"]))
+    return found.select(*[F.col(f"`c_{c}`").alias(c) for c in carry], F.col("z").alias(out))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
