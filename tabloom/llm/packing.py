@@ -12,8 +12,9 @@ driver packs the histogram, not the pieces:
    one group, so the number of groups is bounded by a few times the capacity.
 
 The result is a table of slots (length, ranks from-to, first sequence, offset). A piece finds its slot by its rank among
-the pieces of its length, which comes from counts by (length, salt) and the row number within such a cell; no task
-holds all pieces of a length.
+the pieces of its length, which comes from counts by (length, salt) and the row number within such a cell. A length gets a
+salt for each CELLS-th of all pieces that it has, so there are at most CELLS cells more than lengths, and no task holds much
+more than a CELLS-th of the pieces.
 
 Defined cases: null text is empty, so its one piece is the closing id; texts of any length are cut into as many pieces as
 needed; repeated rows are packed each for itself; an empty table gives an empty result; extra columns stay out.
@@ -35,9 +36,11 @@ from pyspark.sql import functions as F
 from .common import _arrow_schema, arrow_batches, map_rows, public_vocabulary, small, table, work_table
 from .token_counts import SPACE, byte_alphabet, char_class
 
-CAPACITY, CLOSING_ID, SALTS = 2048, 0, 64
-#: what a worker keeps between batches at most
-MAX_WORDS = 800_000
+CAPACITY, CLOSING_ID = 2048, 0
+#: a cell is a CELLS-th of all pieces, but not under MIN_CELL
+CELLS, MIN_CELL = 20_000, 256
+#: what a worker keeps between batches at most: so many bytes, and no word or run of more than MAX_RUN characters
+MAX_KEPT, MAX_RUN = 192 << 20, 64
 _CONTROL = re.compile(r"[\x1c-\x1f]").search
 
 
@@ -61,6 +64,8 @@ class WordIds:
         self.final[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.runs: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.kept = 0  # bytes, about: of keys, values and the objects around them
+        self.long: list[tuple[dict[str, bytes], str]] = []
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -88,16 +93,23 @@ class WordIds:
             raw, start = ids.tobytes(), 0
             for word, end in zip(order, (4 * ends).tolist(), strict=True):
                 words[word] = raw[start:end]
+                self._note(words, word, end - start)
                 start = end
         known = self.runs
         for r, p in parts.items():
             known[r] = words[p[0]] if len(p) == 1 else words[p[0]] + words[p[1]] if len(p) == 2 else b"".join([words[w] for w in p])
+            self._note(known, r, len(known[r]))
+
+    def _note(self, kept: dict[str, bytes], key: str, size: int) -> None:
+        if len(key) > MAX_RUN:
+            self.long.append((kept, key))
+        else:
+            self.kept += 4 * len(key) + size + 200
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text; ``texts`` together should be some megabytes at most."""
-        if len(self.runs) + len(self.words) > MAX_WORDS:
-            self.runs.clear()
-            self.words.clear()
+        if self.kept > MAX_KEPT:
+            self._forget()
         split: list[list[str] | None] = []
         for text in texts:
             plain = text.isascii()
@@ -109,7 +121,16 @@ class WordIds:
         if new := set().union(*(runs for runs in split if runs is not None)).difference(self.runs):
             self._learn(new)
         known = self.runs
-        return [self.whole(t) if runs is None else b"".join([known[r] for r in runs]) for t, runs in zip(texts, split, strict=True)]
+        out = [self.whole(t) if runs is None else b"".join([known[r] for r in runs]) for t, runs in zip(texts, split, strict=True)]
+        for kept, key in self.long:  # texts without spaces are one run: they are not seen again
+            kept.pop(key, None)
+        self.long.clear()
+        return out
+
+    def _forget(self) -> None:
+        self.runs.clear()
+        self.words.clear()
+        self.kept = 0
 
 
 @lru_cache(1)
@@ -255,10 +276,12 @@ def _runs(lengths: tuple[int, ...]) -> tuple[tuple[int, int], ...]:
 def pack(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", capacity: int = CAPACITY, key: str = "doc_id") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece."""
     spark = docs.sparkSession
-    cut = pieces(docs, vocabulary, capacity, key).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int"))
-    cut = work_table(cut, "pieces")
-    cells = work_table(cut.groupBy("length", "salt").agg(F.count("*").alias("n")), "cells")  # capacity x SALTS rows at most
-    counts = {r[0]: r[1] for r in cells.groupBy("length").agg(F.sum("n")).collect()}  # capacity rows at most
+    cut = work_table(pieces(docs, vocabulary, capacity, key), "pieces")
+    counts = {r[0]: r[1] for r in cut.groupBy("length").agg(F.count("*")).collect()}  # capacity rows at most
+    cell = max(MIN_CELL, -(-sum(counts.values()) // CELLS))
+    salts = F.element_at(F.array(*[F.lit(max(1, -(-counts.get(w, 0) // cell))) for w in range(1, capacity + 1)]), F.col("length").cast("int"))
+    cut = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), salts).cast("int"))
+    cells = work_table(cut.groupBy("length", "salt").agg(F.count("*").alias("n")), "cells")
     slots, _ = solve(counts, capacity)
     in_length = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     before = small(work_table(cells.select("length", "salt", F.coalesce(F.sum("n").over(in_length), F.lit(0)).alias("before")), "before"))
