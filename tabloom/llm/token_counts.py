@@ -7,10 +7,12 @@ encodes their joint bytes. A state is the live suffix (the longest that is a pre
 relative count at each of its cut points: finitely many, made when first reached, and kept as integers with a transition
 table; once the table is full, rarer states are passed through without being kept. A whole pre-token, after which the state is the start state again, is one macro transition, also kept.
 
-Chunks. Text is cut into chunks, and each chunk's state map is computed on its own: between a character that is not white
-space and white space the splitter always is in its start state, whatever came before. So a map is (head, count, tail): the
-text before the first such point and after the last depend on the neighbours, and between them the count is constant.
-Composition joins one map's tail with the next one's head; it is associative, so maps are combined in a balanced scan.
+Chunks. Text is cut into chunks of CHUNK characters, and each chunk's state map is computed on its own: between a character
+that is not white space and white space, and between a letter or digit and a character of another kind, the splitter always is in its start state, whatever came before. So a map is (head, count, tail): the text before the first such point
+and after the last depend on the neighbours, and between them the count is constant. A chunk without such a point is all
+head. Composition joins one map's tail with the next one's head; it is associative, so maps are combined in a balanced
+scan. A text of more than PART characters is a row for each of its parts, whose maps are computed by different tasks and
+composed by document; what meets there is a few words for each part, and the text of runs that are one word for megabytes.
 
 Special strings of the vocabulary file count as one token each where they occur, as the library does by default.
 
@@ -28,13 +30,14 @@ from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import map_rows, public_vocabulary, table
+from .common import arrow_batches, map_rows, public_vocabulary, table
 
 LIMIT = 1024
-CHUNK = 1 << 16
-#: bounds of what a worker keeps; beyond them results are computed again, never changed
-MAX_STATES, MAX_MACROS, MAX_PAIRS = 100_000, 200_000, 500_000
+CHUNK, PART = 4096, 1 << 18
+#: bounds of what a worker keeps (no macro of more than MAX_RUN characters); beyond them results are computed again, never changed
+MAX_STATES, MAX_MACROS, MAX_PAIRS, MAX_RUN = 100_000, 200_000, 500_000, 64
 #: white space of the split pattern (the Unicode property, unlike \\s of Python's re)
 ODD_SPACE = r"\t\x0b\x0c\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPACE = rf"\n {ODD_SPACE}"
@@ -174,9 +177,10 @@ class Macros(dict):
 
     def __missing__(self, text: str) -> int:
         n = self.count(text)
-        if len(self) >= MAX_MACROS:
-            self.clear()
-        self[text] = n
+        if len(text) <= MAX_RUN:
+            if len(self) >= MAX_MACROS:
+                self.clear()
+            self[text] = n
         return n
 
 
@@ -193,7 +197,11 @@ class Counter:
         special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
         self.split = re.compile(split_pattern()).findall
-        self.sync = re.compile(rf"(?<=[^{SPACE}])(?=[{SPACE}])")
+        letter, number = char_class("L"), char_class("N")
+        # letters may belong to an apostrophe before them, so points lie after letters and digits; none within a special string
+        within = {t[i : i + 2] for t in special for i in range(len(t) - 1)}
+        no = "".join(rf"(?!(?<={re.escape(a)}){re.escape(b)})" for a, b in sorted(within))
+        self.sync = re.compile(rf"(?:(?<=[^{SPACE}])(?=[{SPACE}])|(?<=[{letter}])(?=[^{letter}])|(?<=[{number}])(?=[^{number}])){no}")
         self.chunk = chunk
 
     def direct(self, text: str) -> int:
@@ -240,15 +248,24 @@ class Counter:
             return (a[0], a[1], head) if n is None else (a[0], a[1] + self.direct(head) + n, rest)
         return a[0], a[1] + self.direct(a[2] + b[0]) + b[1], b[2]
 
-    def count(self, text: str) -> int:
-        if len(text) <= self.chunk:
-            return self.direct(text)
-        maps = [self.chunk_map(text[i : i + self.chunk]) for i in range(0, len(text), self.chunk)]
-        while len(maps) > 1:  # a balanced scan: neighbours are composed until one map is left
+    def text_map(self, text: str) -> tuple[str, int | None, str]:
+        """The map of a text of any length, by a balanced scan of its chunks' maps."""
+        return self.scan([self.chunk_map(text[i : i + self.chunk]) for i in range(0, len(text), self.chunk)] or [("", None, "")])
+
+    def scan(self, maps: list[tuple[str, int | None, str]]) -> tuple[str, int | None, str]:
+        """Neighbours are composed until one map is left."""
+        while len(maps) > 1:
             maps = [self.compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-        head, n, tail = maps[0]
+        return maps[0]
+
+    def total(self, whole: tuple[str, int | None, str]) -> int:
+        """Tokens of a text whose map is ``whole``: it starts and ends in the start state."""
+        head, n, tail = whole
         return self.direct(head) if n is None else self.direct(head) + n + self.direct(tail)
 
+    def count(self, text: str) -> int:
+        return self.direct(text) if len(text) <= self.chunk else self.total(self.text_map(text))
+
 
 @lru_cache(1)
 def counter(path: str) -> Counter:
@@ -259,18 +276,55 @@ def counter(path: str) -> Counter:
 def count_tokens(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", limit: int = LIMIT, key: str = "doc_id") -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) of every row of docs; ``vocabulary`` names a byte-level BPE file."""
     kind = dict(docs.dtypes)[key]
+    rows = docs.select(F.col(key).alias("doc_id"), "text")
+    is_long = F.coalesce(F.length("text") > PART, F.lit(False))
 
     def make():
         count = counter(public_vocabulary(vocabulary)).count
 
         def apply(rows: dict) -> dict:
             texts = [t or "" for t in rows["text"]]
-            tokens = [count(t) for t in texts]
-            return {"doc_id": rows[key], "n_bytes": [len(t.encode()) for t in texts], "n_tokens": tokens, "over_limit": [n > limit for n in tokens]}
+            return {"doc_id": rows["doc_id"], "n_bytes": [len(t.encode()) for t in texts], "n_tokens": [count(t) for t in texts]}
 
         return apply
 
-    return map_rows(docs.select(key, "text"), make, f"doc_id {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean")
+    short = map_rows(rows.where(~is_long), make, f"doc_id {kind}, n_bytes bigint, n_tokens bigint")
+    out = short.unionByName(_long_counts(rows.where(is_long), vocabulary, kind))
+    return out.withColumn("over_limit", F.col("n_tokens") > limit)
+
+
+def _long_counts(rows: DataFrame, vocabulary: str, kind: str) -> DataFrame:
+    """(doc_id, n_bytes, n_tokens): the parts of a text are rows, dealt out to all tasks; their maps are composed by document.
+    Rows that are equal in id and text are counted once and repeated."""
+    spark = rows.sparkSession
+    arrow_batches(spark)
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = rows.select("doc_id", F.md5("text").alias("key"), F.octet_length("text").cast("bigint").alias("n_bytes"), F.monotonically_increasing_id().alias("row"), "text", F.explode(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / PART).cast("int"))).alias("part"))
+    parts = parts.select("doc_id", "key", "n_bytes", "row", "part", F.expr(f"substring(text, part * {PART} + 1, {PART})").alias("text"))
+    each = parts.groupBy("doc_id", "key", "n_bytes", "part").agg(F.min("text").alias("text"), F.count("*").alias("times")).repartition(partitions, "key", "part")
+
+    def make():
+        text_map = counter(public_vocabulary(vocabulary)).text_map
+
+        def apply(rows: dict) -> dict:
+            maps = [text_map(t) for t in rows["text"]]
+            return {k: rows[k] for k in ("doc_id", "key", "n_bytes", "part", "times")} | {"head": [m[0] for m in maps], "n": [m[1] for m in maps], "tail": [m[2] for m in maps]}
+
+        return apply
+
+    maps = map_rows(each, make, f"doc_id {kind}, key string, n_bytes bigint, part int, times bigint, head string, n bigint, tail string", rows=50)
+
+    def compose(frame):
+        import pandas as pd
+
+        counting = counter(public_vocabulary(vocabulary))
+        frame = frame.sort_values("part")
+        whole = counting.scan([(h, None if pd.isna(n) else int(n), t) for h, n, t in zip(frame["head"], frame["n"], frame["tail"], strict=True)])
+        first = frame.iloc[:1]
+        return first[["doc_id", "n_bytes", "times"]].assign(n_tokens=counting.total(whole))
+
+    found = maps.groupBy("doc_id", "key").applyInPandas(compose, f"doc_id {kind}, n_bytes bigint, times bigint, n_tokens bigint")
+    return found.select("doc_id", "n_bytes", "n_tokens", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).drop("col")
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
