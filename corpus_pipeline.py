@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabloom.llm import language_id, mixing, ngram_join, packing, toxicity
-from tabloom.llm.common import learn_rows, table, work_table
+from tabloom.llm.common import free_name, learn_rows, small, table, work_table
 
 #: a document whose language is this unsure is in none of the known ones
 MIN_LANGUAGE_SCORE = 0.3
@@ -20,15 +20,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 5: documents that score THRESHOLD or more go. Learned from the labels of ``documents``."""
     labels = table(spark, sf_dir, "labels").where(learn_rows(F.col("doc_id"), 4, 2))
     scorer = toxicity.learn(toxicity.labelled_rows(table(spark, sf_dir, "documents"), labels))
-    scored = toxicity.score(docs, scorer, carry=tuple(docs.columns))
-    return scored.where(F.col("score") < toxicity.THRESHOLD).select(*docs.columns)
+    name = free_name("score", docs.columns)
+    scored = toxicity.score(docs, scorer, carry=tuple(docs.columns), out=name)
+    return scored.where(F.col(name) < toxicity.THRESHOLD).drop(name)
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 2: documents without a letter or in no known language go."""
     model = language_id.learn(table(spark, sf_dir, "documents").where(learn_rows(F.col("doc_id"), 3, 1)))
-    judged = language_id.identify(docs, model, carry=tuple(docs.columns))
-    return judged.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
+    names = free_name("lang_pred", docs.columns), free_name("score", docs.columns)
+    judged = language_id.identify(docs, model, carry=tuple(docs.columns), out=names)
+    return judged.where((F.col(names[0]) != language_id.UNKNOWN) & (F.col(names[1]) >= MIN_LANGUAGE_SCORE)).drop(*names)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,10 +40,10 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     grouped = ngram_join.jaccard_join(docs)
     kept = grouped.where(F.col("key").isNotNull() & F.col("doc_id").eqNullSafe(F.col("class_id")))
     # one text for each class; all its rows here have the class's id
-    kept = work_table(kept.groupBy("root").agg(F.min("key").alias("_k"), F.first("class_id").alias("_d")).select("_d", "_k"), "kept")
-    texts = docs.withColumn("_key", ngram_join._key(F.col("text")))
-    chosen = texts.join(kept, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")))
-    one = chosen.dropDuplicates(["_d", "_k"]).select(*docs.columns)
+    d, k, of = (free_name(n, docs.columns) for n in ("class_doc", "class_key", "own_key"))
+    kept = small(work_table(kept.groupBy("root").agg(F.min("key").alias(k), F.first("class_id").alias(d)).select(d, k), "kept"))
+    chosen = docs.withColumn(of, ngram_join._key(F.col("text"))).join(kept, F.col("doc_id").eqNullSafe(F.col(d)) & (F.col(of) == F.col(k)))
+    one = chosen.dropDuplicates([d, k]).drop(d, k, of)
     return one.unionByName(docs.where(~F.coalesce(_has_word(F.col("text")), F.lit(False))))
 
 

@@ -206,6 +206,15 @@ def test_null_and_repeated_ids_keep_unlinked_texts(spark, documents):
     assert kept == Counter([*rows[:4], (7, "shared by both")])
 
 
+def test_stages_take_columns_of_any_names(spark):
+    docs = table(spark, SF, "documents").limit(60)
+    odd = docs.withColumns({c: F.lit(f"own {c}") for c in ("score", "Lang_Pred", "class_doc", "class_key", "own_key", "key", "root", "_n", "size", "copies")})
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, odd, SF)
+        assert out.columns == odd.columns
+        assert all(r.score == "own score" and r.own_key == "own own_key" and r["copies"] == "own copies" for r in out.collect())
+
+
 def test_nothing_else_imports_the_subpackage():
     root = Path(__file__).resolve().parents[2]
     for f in (root / "tabloom").rglob("*.py"):

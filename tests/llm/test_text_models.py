@@ -91,6 +91,51 @@ def test_quotation_and_masking_are_told_apart():
     assert kinds("you id1ot go") == {3} and kinds("you idi*t go") == {3}
     assert kinds('they said "you idiot" and left') == {2}
     assert kinds(None) == set() == kinds("")
+    # only the window counts: a stray mark before or after, marks far away, marks between
+    assert kinds('a 5" pipe broke, then they said "you idiot" and left') == {2} == kinds('they said "you idiot" and left with a 5" pipe')
+    assert kinds('a 5" pipe, you idiot, and a 6" one') == {0} and kinds('you idiot " go') == {0}
+    far = "word " * 20
+    assert kinds(f'"{far}you idiot {far}"') == {0} and kinds(f'"so" you idiot "there"') == {0}
+    # an insult beside the quotation speaks against it, a word of attribution for it
+    assert kinds('"idiot" indeed, you idiot') == {0} and kinds('he said "idiot" to the idiot') == {2, 0}
+
+
+def test_context_decides_between_quotation_and_abuse(spark, documents):
+    """The same word in every text; only its window tells the toxic ones."""
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(400)], "doc_id bigint, quality int, toxic int")
+    filler = [f"w{i % 17} x{i % 23} y{i % 5}" for i in range(400)]
+    train = documents([(i, f"{filler[i]} " + (f"you idiot go {i}" if i % 2 else f'they said "you idiot" once {i}' if i % 4 else f"nothing at all {i}")) for i in range(400)])
+    s = toxicity.learn(toxicity.labelled_rows(train, labels), min_odds=0.5)
+    assert any(t == "idiot" or "idiot".startswith(t) for t, _ in s.terms)
+    by = {r.doc_id: r.score for r in toxicity.score(documents([(1, "oh you idiot leave us"), (2, 'they wrote "such an idiot" there'), (3, "a fine day")]), s).collect()}
+    assert by[1] > 0.5 > by[2] and by[1] > by[3]
+
+
+def test_odd_column_names_are_carried(spark, documents):
+    names = ("score", "Score_", "lang_pred", "t", "z", "c_text", "x", "s")
+    docs = documents([(1, "some text"), (2, None)]).withColumns({c: F.lit(f"own {c}") for c in names})
+    for out in (toxicity.score(docs, toxicity.Scorer([], -1.0, {}), carry=tuple(docs.columns), out="_score"), language_id.identify(docs, language_id.learn(docs), carry=tuple(docs.columns), out=("_l", "_s"))):
+        assert out.columns[: len(docs.columns)] == docs.columns and all(r[c] == f"own {c}" for r in out.collect() for c in names)
+
+
+def test_languages_equal_plain_sets(spark):
+    """The sliced filter's corrected counts are those of sets of trigrams, but for its few false positives."""
+    docs = table(spark, SF, "documents")
+    model = language_id.learn(docs)
+    r = random.Random(4)
+    words = ["the", "und", "que", "les", "haus", "casa", "maison", "house", "ñandú", "straße"]
+    sets = [{a for a in words if r.random() < 0.5} for _ in range(3)]
+    grams = [sorted({int(g) for w in s for g in language_id.trigrams(w)}) for s in sets]
+    f = language_id.LanguageFilter(["a", "b", "c"], np.array([g for own in grams for g in own], np.uint64), np.array([i for i, own in enumerate(grams) for _ in own]), "a")
+    for _ in range(200):
+        text = " ".join(r.choice(words) for _ in range(r.randint(1, 30)))
+        counts, n = f.counts(text)
+        want = [sum(int(g) in set(own) for g in language_id.trigrams(text)) for own in grams]
+        assert np.abs(counts - want).max() <= 0.01 * n + 1e-6
+        best = max(range(3), key=lambda i: (want[i], -i))
+        if sum(want) and sorted(want)[-2] < max(want):
+            assert f.judge(text)[0] == "abc"[best]
+    assert set(model.languages) == {"de", "en", "es", "fr"}
 
 
 def test_toxicity_on_held_out_labels(spark):

@@ -31,6 +31,48 @@ def test_counts_equal_the_library_for_any_chunks(byte_bpe, chunk):
     assert [counter.count(t) for t in cases] == [len(e.ids) for e in library.encode_batch(cases, add_special_tokens=False)]
 
 
+def long_texts():
+    r = random.Random(7)
+    letters = [chr(r.randrange(0x4E00, 0x9FA5)) for _ in range(300)]
+    base64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    return {
+        1: "".join(r.choice(letters) for _ in range(300_000)), 2: "".join(r.choice([*letters, *"。，"]) for _ in range(300_000)), 3: "".join(r.choice(base64) for _ in range(400_000)),
+        4: " ".join(r.choice(["word", "token", "don't", "1234", "<|endoftext|>", "x"]) for _ in range(200_000)), 5: "a" * 280_000, 6: " " * 270_000 + "x", 7: "".join(r.choice(LETTERS) for _ in range(300_000)),
+    }
+
+
+def test_long_texts_are_composed_from_parts(spark, documents, byte_bpe):
+    _, library = byte_bpe
+    cases = [*long_texts().items(), (4, long_texts()[4]), (None, long_texts()[2]), (9, "short"), (9, None)]
+    got = sorted(((r.doc_id, r.n_bytes, r.n_tokens) for r in token_counts.count_tokens(documents(cases)).collect()), key=str)
+    want = [(i, len((t or "").encode()), len(library.encode(t or "", add_special_tokens=False).ids)) for i, t in cases]
+    assert got == sorted(want, key=str)
+
+
+def test_most_counts_of_chunked_texts_come_from_their_chunks(byte_bpe):
+    """What is left to composition is a word or two for each chunk."""
+    counter, _ = byte_bpe
+    counter.chunk = 4096
+    prose = "The quick brown fox, they say, jumps over 13 lazy dogs. " * 500
+    maps = [counter.chunk_map(prose[i : i + 4096]) for i in range(0, len(prose), 4096)]
+    assert all(n is not None and len(h) < 10 and len(t) < 10 for h, n, t in maps)
+    assert counter.count(prose) == sum(n for _, n, _ in maps) + sum(counter.direct(a[2] + b[0]) for a, b in zip(maps, maps[1:])) + counter.direct(maps[0][0]) + counter.direct(maps[-1][2])
+
+
+def test_what_workers_keep_is_bounded_in_bytes(byte_bpe, monkeypatch):
+    counter, _ = byte_bpe
+    cjk = long_texts()[1]
+    for i in range(20):
+        counter.count(cjk[i * 12_000 : (i + 1) * 12_000])
+    assert all(len(k) <= 64 for kept in (counter.macros, counter.runs) for k in kept)
+    ids = packing.WordIds(public_vocabulary("word_bpe_49k.json"))
+    whole = [cjk[i * 12_000 : (i + 1) * 12_000] + " and words" for i in range(20)]
+    want = [ids.whole(t) for t in whole]
+    assert ids.encode(whole) == want and all(len(k) <= 64 for kept in (ids.runs, ids.words) for k in kept) and ids.kept < 10_000
+    monkeypatch.setattr(packing, "MAX_KEPT", 100)
+    assert ids.encode(["some other words"]) == [ids.whole("some other words")] and ids.encode(["more"]) == [ids.whole("more")] and len(ids.words) == 1
+
+
 def test_full_state_table_changes_nothing(byte_bpe, monkeypatch):
     _, library = byte_bpe
     monkeypatch.setattr(token_counts, "MAX_STATES", 50)
@@ -105,7 +147,7 @@ def test_reduction_never_costs_a_sequence():
         assert sum(n for _, n in fixed) + optimal(rest, capacity) == optimal(lengths, capacity)
 
 
-def test_packing_is_whole_gapless_and_tight(spark, documents, odd):
+def test_packing_is_whole_gapless_and_tight(spark, documents, odd, monkeypatch):
     r = random.Random(2)
     cases = [*odd, *[(100 + i, "word " * r.choice([1, 3, 50, 200, 511, 700, 1023, 1024, 1500])) for i in range(150)]]
     got = packing.pack(documents(cases)).collect()
@@ -128,4 +170,8 @@ def test_packing_is_whole_gapless_and_tight(spark, documents, odd):
         assert at <= 2048
     least = -(-sum(w[3] for w in want) // 2048)
     assert len(sequences) <= least * 1.1 + 1
+    monkeypatch.setattr(packing, "MIN_CELL", 2)
+    monkeypatch.setattr(packing, "CELLS", 10)
+    salted = packing.pack(documents(cases)).collect()
+    assert len({(g.sequence_id, g.offset) for g in salted}) == len(got) and len({g.sequence_id for g in salted}) == len(sequences)
     assert packing.pack(documents([])).count() == 0
