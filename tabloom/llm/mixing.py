@@ -114,13 +114,11 @@ def take(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int =
     Rows are joined with their copies by id, source and text. Rows equal in these share the copies of their group: as
     many each as divide evenly, and one more for the first ones."""
     mixed = _mixed(docs, weights, max_repeats, seed, key)
-    group = lambda d, source, digest: F.xxhash64(d, source, digest)
-    columns = (F.col("doc_id"), F.col("source"), F.col("digest"))
-    copies = mixed.groupBy(group(*columns).alias("_g"), *[c.alias(f"_{n}") for c, n in zip(columns, "dsh", strict=True)]).agg(F.sum("copies").alias("_t"), F.count("*").alias("_m")).where("_t > 0")
+    # two hashes, of 124 bits together, stand for id, source and text; rows and window are dealt out by them alone
+    copies = mixed.groupBy(F.xxhash64("doc_id", "source", "digest").alias("_g"), F.col("digest").alias("_h")).agg(F.sum("copies").alias("_t"), F.count("*").alias("_m")).where("_t > 0")
     whole = docs.select(*[F.col(f"`{c}`").alias(f"c_{c}") for c in docs.columns], digest_of(F.col(key), F.col("text"), seed).alias("_x"))
-    whole = whole.withColumn("_y", group(F.col(f"c_{key}"), F.col("c_source").cast("string"), F.col("_x")))
-    hit = (F.col("_y") == F.col("_g")) & (F.col("_x") == F.col("_h")) & F.col(f"c_{key}").eqNullSafe(F.col("_d")) & F.col("c_source").cast("string").eqNullSafe(F.col("_s"))
-    both = whole.join(copies, hit)
+    whole = whole.withColumn("_y", F.xxhash64(F.col(f"c_{key}"), F.col("c_source").cast("string"), F.col("_x")))
+    both = whole.join(copies, (F.col("_y") == F.col("_g")) & (F.col("_x") == F.col("_h")))
     first = Window.partitionBy("_y", "_x").orderBy(*[F.xxhash64(f"c_{c}") for c in docs.columns if c not in (key, "source", "text")] or [F.lit(0)])
     n = F.when(F.col("_m") == 1, F.col("_t")).otherwise(F.floor(F.col("_t") / F.col("_m")) + (F.row_number().over(first) <= F.col("_t") % F.col("_m")).cast("bigint")).cast("int")
     out = both.withColumn("_n", n).where("_n > 0").withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n"))))
