@@ -69,6 +69,12 @@ def cumulative(values: DataFrame, x: str, weight: str, parts: int = 64) -> DataF
     return placed.withColumn("below", F.coalesce(F.sum(weight).over(w), F.lit(0)) + before).drop("_part")
 
 
+def correlation(a: Column, b: Column) -> Column:
+    """Pearson's correlation over the rows that have both; null if either does not vary (``corr`` divides by zero then)."""
+    x, y = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
+    return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
+
+
 def rank_auc(df: DataFrame, score: Column, label: Column) -> float | None:
     """Area under the ROC curve with ties averaged; null without both classes. Rows are counted by score first."""
     rows = df.select(score.alias("x"), label.alias("y")).where("x IS NOT NULL AND y IS NOT NULL")

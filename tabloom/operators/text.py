@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import CountVectorizerModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,16 +63,14 @@ def fit_tfidf(df: DataFrame, columns: list[str], params: dict) -> list[tuple[str
 
 
 def apply_tfidf(df: DataFrame, columns: list[str], params: dict, state: list[tuple[str, float]], out: str) -> DataFrame:
-    words = tokens(txt(columns[0]), params.get("ngram", 1))
+    """Tokens are counted by the vocabulary's hash table in one pass over them; texts without a token, and null, give zeros."""
     if not state:
         return df.withColumn(out, F.array().cast("array<double>"))
-    base = df.withColumn("_w", words)
-    # tokens become vocabulary numbers, and a number is counted by the drop in length when it is removed
-    known = F.array(*[F.lit(w) for w, _ in state])
-    base = base.withColumn("_n", F.size("_w")).withColumn("_p", F.transform("_w", lambda x: F.array_position(known, x)))
-    count = lambda i: F.col("_n") - F.size(F.array_remove("_p", F.lit(i).cast("bigint")))
-    value = [F.when(F.col("_n") > 0, count(i) / F.col("_n") * idf).otherwise(F.lit(0.0)) for i, (_, idf) in enumerate(state, 1)]
-    return base.withColumn(out, F.when(F.col("_w").isNull(), F.array_repeat(F.lit(0.0), len(state))).otherwise(F.array(*value))).drop("_w", "_n", "_p")
+    words, idf = [w for w, _ in state], F.array(*[F.lit(v) for _, v in state])
+    base = df.withColumn("_w", F.coalesce(tokens(txt(columns[0]), params.get("ngram", 1)), F.array().cast("array<string>")))
+    counted = CountVectorizerModel.from_vocabulary(words, inputCol="_w", outputCol="_counts").transform(base.withColumn("_n", F.size("_w")))
+    value = F.zip_with(vector_to_array("_counts"), idf, lambda c, i: F.when(F.col("_n") > 0, c / F.col("_n") * i).otherwise(F.lit(0.0)))
+    return counted.withColumn(out, value).drop("_w", "_n", "_counts")
 
 
 for _name, _ngram in (("tfidf_word", 1), ("tfidf_char", 3)):

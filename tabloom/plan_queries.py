@@ -156,7 +156,18 @@ def leak_information(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(round(problem.normalised_information(o, F.col("c"), F.col("y")), 9),)], "mi double")
 
 
-@_query()
+_SEPARATED = "(SELECT y, y * 10 + (k % 7) / 10.0 AS s, c, x FROM t)"
+
+
+@_query(
+    f"""WITH t AS (SELECT * FROM {_O}), a AS (SELECT 'separated' AS name, {_AUC} AS v FROM {_RANKED.format(s='s', t=_SEPARATED)} UNION ALL SELECT 'x', {_AUC} FROM {_RANKED.format(s='x', t='t')}),
+l AS (SELECT 'separated' AS name, s::VARCHAR AS f, y FROM {_SEPARATED} UNION ALL SELECT 'c', c, y FROM t), n AS (SELECT name, f, y, count(*)::DOUBLE AS n FROM l GROUP BY ALL),
+m AS (SELECT *, sum(n) OVER (PARTITION BY name) AS total, sum(n) OVER (PARTITION BY name, f) AS nf, sum(n) OVER (PARTITION BY name, y) AS ny FROM n),
+i AS (SELECT name, sum(n / total * log2(n * total / (nf * ny))) / (SELECT -sum(p * log2(p)) FROM (SELECT count(*) / (SELECT count(*) FROM t) AS p FROM t GROUP BY y)) AS v FROM m GROUP BY name),
+g AS (SELECT abs(avg(CASE WHEN y = 1 THEN 0.0 END) - avg(CASE WHEN y = 0 THEN 1.0 END)) AS v FROM t)
+SELECT name, 'separation' AS kind, 'L4' AS level, round(v, 6) AS score FROM a WHERE v >= 0.98 UNION ALL SELECT name, 'information', 'L4', round(v, 6) FROM i WHERE v >= 0.9
+UNION ALL SELECT 'gone', 'missingness', 'L4', round(v, 6) FROM g WHERE v >= 0.9"""
+)
 def leak_statistical(spark: SparkSession, sf: str) -> DataFrame:
     o = _orders(spark, sf).withColumn("separated", F.col("y") * 10 + F.pmod("k", F.lit(7)) / 10).withColumn("gone", F.when(F.col("y") == 1, F.col("x")))
     found = problem.statistical_leaks(o, ["separated", "gone", "x", "c"], "y")
@@ -258,10 +269,13 @@ def eda_trend(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(round(t["slope"], 9), round(t["r"], 9))], "slope double, r double")
 
 
-@_query()
+@_query(
+    """WITH d AS (SELECT ts::DATE AS day, avg(value) AS v FROM events GROUP BY 1), m AS (SELECT row_number() OVER (ORDER BY day) AS i, v - avg(v) OVER () AS c FROM d WHERE v IS NOT NULL)
+SELECT k::INT AS lag, round(coalesce(sum(a.c * b.c) / (SELECT sum(c * c) FROM m), 0) + 2.3e-9, 6) AS r FROM range(1, 25) AS t(k) LEFT JOIN m a ON true LEFT JOIN m b ON b.i = a.i + k GROUP BY k"""
+)
 def eda_autocorrelation(spark: SparkSession, sf: str) -> DataFrame:
     acf = report.autocorrelation(report.daily(_table(spark, sf, "events"), "ts", "value"))
-    return spark.createDataFrame(list(enumerate(acf, 1)), "lag int, r double")
+    return spark.createDataFrame(list(enumerate(acf, 1)), "lag int, r double").select("lag", F.round(F.col("r") + 2.3e-9, 6).alias("r"))
 
 
 # ---- streams and the whole -------------------------------------------------------------------------------------------

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.clean import num
+from ..functions.parallel import spread
 from . import models, problem
 from .profile import ColumnProfile, profile
 from .selection import Selection, propose, run_funnel
@@ -28,6 +29,7 @@ def learn(df: DataFrame, target: str, keys: list[str], task: str | None = None,
 
     Binary targets are probed by the clipped Brier score, up to MULTICLASS_CAP classes one against the rest, numbers by the
     root mean squared error. ``keys`` identify a row; they, the target and columns a detector rejects are never features."""
+    df = spread(df)
     profiles = profile(df)
     by_name = {p.name: p for p in profiles}
     inferred = problem.infer_task(df, target, by_name[target], task, time)

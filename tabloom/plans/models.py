@@ -14,6 +14,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.order import correlation
+from .report import quantiles
 from .selection import as_number
 
 #: family -> (tasks, maker); what Spark has no estimator for is named in UNSUPPORTED
@@ -156,7 +158,7 @@ def diversity(df: DataFrame, predictions: list[str]) -> float:
     pairs = [(a, b) for i, a in enumerate(predictions) for b in predictions[i + 1 :]]
     if not pairs:
         return 0.0
-    row = df.agg(*[F.abs(F.corr(a, b)) for a, b in pairs]).first()
+    row = df.agg(*[F.abs(correlation(F.col(a), F.col(b))) for a, b in pairs]).first()
     return 1 - sum(v or 0.0 for v in row) / len(pairs)
 
 
@@ -180,5 +182,8 @@ def baselines(df: DataFrame, label: str, task: str) -> dict[str, float]:
         n, most = df.where(y.isNotNull()).groupBy(y).count().agg(F.sum("count"), F.max("count")).first()
         shares = [r[0] / n for r in df.where(y.isNotNull()).groupBy(y).count().select("count").collect()]
         return {"majority_accuracy": most / n, "random_accuracy": sum(s * s for s in shares), "prior_log_loss": -sum(s * math.log(s) for s in shares)}
-    mean, median, std = df.agg(F.avg(y), F.median(y), F.stddev_pop(y)).first()
+    mean, std = df.agg(F.avg(y), F.stddev_pop(y)).first()
+    (median,) = quantiles(df, label, [0.5])
+    if median is None:
+        return {"mean_rmse": None, "median_mae": None, "mean": None}
     return {"mean_rmse": std, "median_mae": df.agg(F.avg(F.abs(y - F.lit(median)))).first()[0], "mean": mean}

@@ -9,6 +9,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.parallel import spread
+
 #: fixed values: tokens read as missing, and values that are only suspicious
 MISSING_TOKENS = ("NA", "N/A", "null", "NULL", "None", "NaN")
 SUSPICIOUS = ("-999", "-9999", "9999", "99999", "-1", "1900-01-01", "1970-01-01")
@@ -108,7 +110,7 @@ def profile(df: DataFrame, exact: bool = True) -> list[ColumnProfile]:
 
     ``exact=False`` sketches the distinct counts; the most frequent values are counted all the same."""
     names, kinds = df.columns, dict(df.dtypes)
-    flat = df.select(*[F.col(f"`{c}`").cast("string").alias(c) if kinds[c].startswith(("array", "map", "struct", "binary")) else F.col(f"`{c}`") for c in names])
+    flat = spread(df).select(*[F.col(f"`{c}`").cast("string").alias(c) if kinds[c].startswith(("array", "map", "struct", "binary")) else F.col(f"`{c}`") for c in names])
     flat = flat.withColumn("_row", F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in names]))
     kinds = dict(flat.dtypes)
     row = flat.agg(F.count("*").alias("_n"), *[f for c in names for f in _stats(c, kinds[c], exact)]).first().asDict()
@@ -240,9 +242,15 @@ def meta_features(profiles: list[ColumnProfile]) -> dict[str, float]:
 
 
 def fingerprint(df: DataFrame) -> str:
-    """A hash of schema and content that does not depend on the order of rows."""
+    """A hash of schema and content that does not depend on the order of rows, nor on that of a map's entries."""
     import hashlib
 
-    h = F.xxhash64(*[F.col(f"`{c}`") for c, k in df.dtypes if not k.startswith("map")])
+    def hashable(name: str, kind: str) -> Column:
+        c = F.col(f"`{name}`")
+        if kind.startswith("map<") and "map<" not in kind[4:]:
+            return F.array_sort(F.map_entries(c))
+        return F.to_json(F.struct(c)) if "map<" in kind or "variant" in kind else c  # maps within others, as they are written
+
+    h = F.xxhash64(*[hashable(c, k) for c, k in df.dtypes])
     n, x, s = df.select(h.alias("h")).agg(F.count("*"), F.bit_xor("h"), F.sum(F.col("h").cast("decimal(38,0)"))).first()
     return f"ds_{hashlib.sha256(f'{df.schema.json()}|{n}|{x}|{s}'.encode()).hexdigest()[:24]}"

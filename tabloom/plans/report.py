@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.clean import cat, num
+from ..functions.order import correlation, order_statistics
 from .profile import ColumnProfile, profile
 
 
@@ -38,10 +39,19 @@ def kde(df: DataFrame, column: str, grid: int = 64, fine: int = 512) -> list[tup
     return list(zip(at.tolist(), density.tolist(), strict=True))
 
 
+def quantiles(df: DataFrame, column: str, shares: list[float]) -> list[float | None]:
+    """Exact quantiles with linear interpolation, by passes that count rows in buckets: no task holds the values."""
+    at = lambda n: [(n - 1) * q for q in shares]
+    n, found = order_statistics(df, num(column), lambda n: [i for x in at(n) for i in (math.floor(x), math.ceil(x))])
+    if not n:
+        return [None] * len(shares)
+    return [lo + (hi - lo) * (x - math.floor(x)) for x, lo, hi in zip(at(n), found[::2], found[1::2], strict=True)]
+
+
 def outliers(df: DataFrame, column: str) -> dict[str, float]:
     """Tukey's fences and the rows outside them."""
     x = num(column)
-    q1, q2, q3 = df.select(x.alias("x")).agg(F.percentile("x", [0.25, 0.5, 0.75])).first()[0] or (None, None, None)
+    q1, q2, q3 = quantiles(df, column, [0.25, 0.5, 0.75])
     if q1 is None:
         return {}
     lo, hi = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
@@ -49,14 +59,24 @@ def outliers(df: DataFrame, column: str) -> dict[str, float]:
     return {"q1": q1, "median": q2, "q3": q3, "low_fence": lo, "high_fence": hi, "below": below, "above": above}
 
 
-def correlations(df: DataFrame, columns: list[str], limit: int = 12) -> DataFrame:
-    """(a, b, r) of the first ``limit`` numeric columns, in one aggregation."""
+#: pairs of columns in one aggregation
+_PAIRS = 200
+
+
+def correlations(df: DataFrame, columns: list[str], limit: int | None = None) -> DataFrame:
+    """(a, b, r) of all pairs of the columns, a few hundred in one aggregation; ``limit`` takes the first columns only, for
+    callers who say so."""
     cols = columns[:limit]
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :]]
     if not pairs:
         return df.sparkSession.createDataFrame([], "a string, b string, r double")
-    row = df.agg(*[F.corr(num(a), num(b)).alias(f"_{i}") for i, (a, b) in enumerate(pairs)])
-    return row.select(F.inline(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"_{i}").alias("r")) for i, (a, b) in enumerate(pairs)])))
+    out = None
+    for k in range(0, len(pairs), _PAIRS):
+        some = pairs[k : k + _PAIRS]
+        row = df.agg(*[correlation(num(a), num(b)).alias(f"_{i}") for i, (a, b) in enumerate(some)])
+        part = row.select(F.inline(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"_{i}").alias("r")) for i, (a, b) in enumerate(some)])))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def top_values(df: DataFrame, column: str, k: int = 10) -> DataFrame:

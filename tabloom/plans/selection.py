@@ -80,11 +80,12 @@ def propose_hints(p: ColumnProfile) -> list[Feature]:
 def propose_from_residuals(df: DataFrame, profiles: list[ColumnProfile], residual: str) -> list[Feature]:
     """Transforms of columns that the size of the errors correlates with; one aggregation."""
     from ..functions.clean import num
+    from ..functions.order import correlation
 
     numeric = [p for p in profiles if p.numeric and p.name != residual and p.numeric["count"] >= 20]
     if not numeric:
         return []
-    row = df.agg(*[F.corr(num(p.name), F.abs(num(residual))) for p in numeric]).first()
+    row = df.agg(*[correlation(num(p.name), F.abs(num(residual))) for p in numeric]).first()
     out = []
     for p, r in zip(numeric, row, strict=True):
         r = abs(r or 0.0)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions.clean import cat, dt, num, txt
+from .functions.parallel import spread
 from .operators import get
 from .operators.datetime import EXTRAS
 from .operators.model import residual_interactions
@@ -59,14 +60,15 @@ BASES: dict[str, tuple[str, list[str]]] = {
             "o_orderkey % 5 AS fold",
         ],
     ),
-    "texts": ("documents", ["doc_id AS k", "CASE WHEN doc_id % 19 = 0 THEN NULL WHEN doc_id % 23 = 0 THEN '' ELSE text END AS t"]),
+    "texts": ("documents", ["doc_id AS k", "text AS t"]),
     "items": ("lineitem", ["l_orderkey AS k", "l_partkey AS k2", "l_suppkey AS k3", "l_linenumber AS k4", "l_quantity AS a", "l_extendedprice AS b", "l_discount AS c", "l_tax AS d"]),
 }
 
 
 def base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     source, expressions = BASES[name]
-    return spark.read.parquet(f"{sf_dir}/{source}.parquet").selectExpr(*expressions)
+    df = spark.read.parquet(f"{sf_dir}/{source}.parquet").selectExpr(*expressions)
+    return spread(df) if name == "texts" else df
 
 
 def sql(name: str) -> str:

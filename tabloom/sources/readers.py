@@ -145,14 +145,24 @@ def read_arrow(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_excel(spark: SparkSession, path: str, sheet: str | int = 0) -> DataFrame:
-    """A sheet, by name or number. A workbook is a single small file, so it is read on the driver."""
+    """A sheet, by name or number, of each workbook that ``path`` names, one below the other by column name. Workbooks are
+    small files by nature (a sheet has a million rows at most), and are read one after the other on the driver."""
     try:
         import openpyxl  # noqa: F401
         import pandas as pd
     except ImportError as e:
         raise SourceError("reading Excel files needs openpyxl") from e
-    rows = spark.read.format("binaryFile").load(path).select("content").first()
-    return spark.createDataFrame(pd.read_excel(io.BytesIO(bytes(rows[0])), sheet_name=sheet))
+    return _union_workbooks(spark, path, lambda raw: pd.read_excel(io.BytesIO(raw), sheet_name=sheet))
+
+
+def _union_workbooks(spark: SparkSession, path: str, parse) -> DataFrame:
+    out = None
+    for (raw,) in spark.read.format("binaryFile").load(path).orderBy("path").select("content").toLocalIterator():
+        one = spark.createDataFrame(parse(bytes(raw)))
+        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    if out is None:
+        raise SourceError(f"{path} has no files")
+    return out
 
 
 def read_sqlite(spark: SparkSession, path: str, table: str | None = None, query: str | None = None) -> DataFrame:

@@ -1,5 +1,6 @@
 """Pipelines, profiles, splits, leakage, selection, models, reports, export, experience, sources, streams."""
 
+import io
 import json
 import math
 import sqlite3
@@ -12,13 +13,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabloom import plan_queries
+from tabloom.functions.parallel import spread
 from tabloom.operators import get
 from tabloom.plans import codegen, experience, models, problem, report, selection
 from tabloom.plans.features import Feature, FeatureEstimator, FeatureGraph, FeaturePipeline, check_domains, fold_identity
 from tabloom.plans.learn import learn
 from tabloom.plans.profile import fingerprint, meta_features, profile
 from tabloom.plans.selection import Grams, f0_preconditions, nested_cv, progressive_cv, propose, run_funnel, select_portfolio
-from tabloom.sources import SourceError, open_source, sniff
+from tabloom.sources import SourceError, open_source, readers, sniff
 from tabloom.sources.readers import assert_public, read_api, read_csv, read_sqlite
 from tabloom.streaming.features import ewma_stream, windowed
 
@@ -296,6 +298,36 @@ def test_reports(orders, spark, sf):
     assert max(s, key=s.get) in (7, 14, 21) and s[7] > 0.99 and report.autocorrelation(wave)[6] > 0.8
 
 
+def test_reports_take_all_columns_and_exact_quantiles(spark):
+    wide = spark.range(50).select(*[(F.col("id") * (i + 1) % 17).cast("double").alias(f"c{i}") for i in range(25)])
+    assert report.correlations(wide, wide.columns).count() == 300 and report.correlations(wide, wide.columns, 3).count() == 3
+    r = np.random.default_rng(1).normal(size=501)
+    df = spark.createDataFrame([(float(x),) for x in r] + [(None,)], "x double")
+    assert report.quantiles(df, "x", [0.1, 0.25, 0.5, 0.9]) == pytest.approx(np.quantile(r, [0.1, 0.25, 0.5, 0.9]))
+    assert report.outliers(df.where("x IS NULL"), "x") == {} and models.baselines(df.where("x IS NULL"), "x", "regression")["mean"] is None
+
+
+def test_fingerprints_see_maps(spark):
+    one = spark.sql("SELECT 1 AS i, map('a', 1, 'b', 2) AS m, array(map('x', 1)) AS n")
+    again, other = spark.sql("SELECT 1 AS i, map('b', 2, 'a', 1) AS m, array(map('x', 1)) AS n"), spark.sql("SELECT 1 AS i, map('a', 1, 'b', 3) AS m, array(map('x', 1)) AS n")
+    assert fingerprint(one) == fingerprint(again) != fingerprint(other)
+    assert fingerprint(one) != fingerprint(spark.sql("SELECT 1 AS i, map('a', 1, 'b', 2) AS m, array(map('x', 2)) AS n"))
+
+
+def test_all_workbooks_are_read(spark, tmp_path):
+    for i in range(3):
+        (tmp_path / f"{i}.xlsx").write_bytes(f"a,b\n{i},x{i}\n".encode() if i else b"a\n0\n")
+    got = readers._union_workbooks(spark, str(tmp_path), lambda raw: pd.read_csv(io.BytesIO(raw)))
+    assert sorted(map(tuple, got.collect()), key=str) == [(0, None), (1, "x1"), (2, "x2")]
+    with pytest.raises(SourceError):
+        readers._union_workbooks(spark, str(tmp_path / "*.none"), None)
+
+
+def test_small_files_are_spread_over_the_cores(spark):
+    n = spark.sparkContext.defaultParallelism
+    assert spread(spark.range(10, numPartitions=1)).rdd.getNumPartitions() == n and spread(spark.range(10, numPartitions=n + 3)).rdd.getNumPartitions() == n + 3
+
+
 def test_export_passes_eleven_gates(orders, tmp_path):
     p = FeaturePipeline(FEATURES, ["o_orderkey"]).fit(orders)
     gates = codegen.verify(p, orders, str(tmp_path / "export"))
