@@ -49,7 +49,7 @@ def hash_encode(spark, sf):
 
 HEADLINES = {
     "scalar_log1p": scalar, "wide_50": wide, "nulls_40": sparse, "standardize": standardize, "rolling_mean": rolling_mean, "hash_encode": hash_encode, "flagship": flagship,
-    **{n: QUERIES[n] for n in ("op_group_median", "op_ewma", "op_target_mean_crossfit", "op_quantile_normal", "op_robust_scale", "op_text_hashing", "op_tfidf_word", "leak_rank_auc", "split_stratified", "eda_histogram", "learn_portfolio")},
+    **{n: QUERIES[n] for n in ("op_group_median", "op_ewma", "op_target_mean_crossfit", "op_quantile_normal", "op_robust_scale", "op_text_hashing", "op_tfidf_word", "leak_rank_auc", "split_stratified", "eda_histogram")},
 }
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.clean import num, txt
+from ..functions.order import correlation
 from .registry import Operator, register
 from .text import tokens
 
@@ -144,7 +145,7 @@ def tree_leaf_by_fold(df: DataFrame, columns: list[str], fold: str, out: str, pa
 def residual_interactions(df: DataFrame, columns: list[str], residual: str, top_k: int = 5, least: float = 0.01) -> DataFrame:
     """(column, score): |corr(x, |r|)| + |corr(x, r)| / 2 of all columns, in one aggregation."""
     r = num(residual)
-    sums = df.agg(*[F.abs(F.corr(num(c), F.abs(r))).alias(f"a{i}") for i, c in enumerate(columns)], *[F.abs(F.corr(num(c), r)).alias(f"b{i}") for i, c in enumerate(columns)])
+    sums = df.agg(*[F.abs(correlation(num(c), F.abs(r))).alias(f"a{i}") for i, c in enumerate(columns)], *[F.abs(correlation(num(c), r)).alias(f"b{i}") for i, c in enumerate(columns)])
     score = lambda i: F.coalesce(f"a{i}", F.lit(0.0)) + 0.5 * F.coalesce(f"b{i}", F.lit(0.0))
     rows = sums.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), score(i).alias("score")) for i, c in enumerate(columns)])))
     return rows.where(F.col("score") > least).orderBy(F.desc("score"), "column").limit(top_k)

@@ -117,7 +117,7 @@ def autocorrelation(series: DataFrame, lags: int = 24) -> list[float]:
 def trend(series: DataFrame) -> dict[str, float | None]:
     """Slope a day and correlation with time."""
     day = F.datediff("day", F.lit("1970-01-01").cast("date")).cast("double")
-    slope, r = series.agg(F.regr_slope("v", day), F.corr("v", day)).first()
+    slope, r = series.agg(F.regr_slope("v", day), correlation(F.col("v"), day)).first()
     return {"slope": slope, "r": r}
 
 
