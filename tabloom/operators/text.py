@@ -68,9 +68,11 @@ def apply_tfidf(df: DataFrame, columns: list[str], params: dict, state: list[tup
         return df.withColumn(out, F.array().cast("array<double>"))
     words, idf = [w for w, _ in state], F.array(*[F.lit(v) for _, v in state])
     base = df.withColumn("_w", F.coalesce(tokens(txt(columns[0]), params.get("ngram", 1)), F.array().cast("array<string>")))
-    counted = CountVectorizerModel.from_vocabulary(words, inputCol="_w", outputCol="_counts").transform(base.withColumn("_n", F.size("_w")))
-    value = F.zip_with(vector_to_array("_counts"), idf, lambda c, i: F.when(F.col("_n") > 0, c / F.col("_n") * i).otherwise(F.lit(0.0)))
-    return counted.withColumn(out, value).drop("_w", "_n", "_counts")
+    counted = CountVectorizerModel.from_vocabulary(words, inputCol="_w", outputCol="_counts").transform(base)
+    # the row's numbers are bound once: a lambda would evaluate what stands in it for each entry of the vector
+    row = F.array(F.struct(F.size("_w").alias("n"), vector_to_array("_counts").alias("c")))
+    value = F.transform(row, lambda r: F.zip_with(r["c"], idf, lambda c, i: F.when(r["n"] > 0, c / r["n"] * i).otherwise(F.lit(0.0))))[0]
+    return counted.withColumn(out, value).drop("_w", "_counts")
 
 
 for _name, _ngram in (("tfidf_word", 1), ("tfidf_char", 3)):
