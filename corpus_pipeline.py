@@ -40,11 +40,15 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     grouped = ngram_join.jaccard_join(docs)
     kept = grouped.where(F.col("key").isNotNull() & F.col("doc_id").eqNullSafe(F.col("class_id")))
     # one text for each class; all its rows here have the class's id
-    d, k, of = (free_name(n, docs.columns) for n in ("class_doc", "class_key", "own_key"))
-    kept = small(work_table(kept.groupBy("root").agg(F.min("key").alias(k), F.first("class_id").alias(d)).select(d, k), "kept"))
-    chosen = docs.withColumn(of, ngram_join._key(F.col("text"))).join(kept, F.col("doc_id").eqNullSafe(F.col(d)) & (F.col(of) == F.col(k)))
-    one = chosen.dropDuplicates([d, k]).drop(d, k, of)
-    return one.unionByName(docs.where(~F.coalesce(_has_word(F.col("text")), F.lit(False))))
+    d, k, i, of, id_of = (free_name(n, docs.columns) for n in ("class_doc", "class_key", "class_id_hash", "own_key", "own_id_hash"))
+    kept = kept.groupBy("root").agg(F.min("key").alias(k), F.first("class_id").alias(d)).select(d, k, F.xxhash64(d).alias(i))
+    kept = small(work_table(kept, "kept"))
+    worded = F.coalesce(_has_word(F.col("text")), F.lit(False))
+    # rows equal in id and text are one before the shuffle; the join needs no other, as it is on the same two columns.
+    # Copies whose ids have one hash would be one document, too: one of a group stays in any case
+    rows = docs.where(worded).withColumns({of: ngram_join._key(F.col("text")), id_of: F.xxhash64("doc_id")}).dropDuplicates([id_of, of])
+    one = rows.join(kept, (F.col(id_of) == F.col(i)) & (F.col(of) == F.col(k)))
+    return one.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.where(~worded))
 
 
 def _has_word(text: Column) -> Column:
