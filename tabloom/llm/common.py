@@ -21,6 +21,8 @@ WORD = re.compile(WORD_RE)
 
 #: A table that is broadcast must have fewer rows and bytes than this; beyond it joins shuffle.
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
+#: An Arrow batch ends at so many bytes; each task holds some of them twice, in the JVM and in its Python worker
+BATCH_BYTES = 4 << 20
 #: a key with more rows than this is dealt out over parts
 HOT_ROWS = 256
 
@@ -112,7 +114,7 @@ def arrow_batches(spark: SparkSession) -> None:
     """Bound the bytes of an Arrow batch, as texts can be long. Called before each Python stage, so it also sees to it
     that the executors have the code. The bound is the same for all stages: it acts when a plan runs, not here."""
     _ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def map_rows(df: DataFrame, make: Callable[[], Callable[[dict], dict]], schema: str, rows: int = 1000) -> DataFrame:
