@@ -40,7 +40,7 @@ CAPACITY, CLOSING_ID = 2048, 0
 #: a cell is a CELLS-th of all pieces, but not under MIN_CELL
 CELLS, MIN_CELL = 20_000, 256
 #: what a worker keeps between batches at most: so many bytes, and no word or run of more than MAX_RUN characters
-MAX_KEPT, MAX_RUN = 192 << 20, 64
+MAX_KEPT, MAX_RUN = 128 << 20, 64
 _CONTROL = re.compile(r"[\x1c-\x1f]").search
 
 
@@ -50,15 +50,15 @@ class WordIds:
     texts for which that does not hold go to the library whole."""
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
         letter, number = char_class("L"), char_class("N")
         self.split = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{number}]|[^{SPACE}{letter}{number}]+").findall
-        # the model alone: words in byte letters, one a line
+        # the model alone, shared with the library's tokenizer: words in byte letters, one a line
         self.letters = {b: "\n" if b == 10 else c for c, b in byte_alphabet().items()}
-        self.bare = Tokenizer.from_file(path)
-        self.bare.normalizer, self.bare.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.Split("\n", "removed")
+        self.bare = Tokenizer(self.library.model)
+        self.bare.pre_tokenizer = pre_tokenizers.Split("\n", "removed")
         vocabulary = self.library.get_vocab(with_added_tokens=False)
         self.final = np.zeros(max(vocabulary.values()) + 1, bool)
         self.final[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
