@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 from dataclasses import asdict, dataclass, field
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SCHEMA = "identity string, task string, meta map<string,double>, family string, op string, gain double, accepted boolean, cost double, tags array<string>, at timestamp, id string"
 #: fixed values: weights of the meta-features in the distance
 WEIGHTS = {"log_rows": 1.0, "log_columns": 1.0, "missing": 1.0, "numeric": 1.0, "categorical": 1.0, "cardinality": 0.5, "skew": 0.5}
+#: fixed values: a case is near if its data has at most so many times the rows and columns, or so many times fewer
+BUCKETS = {"log_rows": 10.0, "log_columns": 5.0}
 
 
 @dataclass
@@ -57,10 +61,12 @@ def distance(meta: dict[str, float]):
 
 def retrieve(cases: DataFrame, task: str, meta: dict[str, float], k: int = 50) -> DataFrame:
     """(family, n, accepted, posterior, confidence, gain) from the k nearest cases of the task whose data is within ten
-    times the rows; the posterior of acceptance has a uniform prior."""
+    times the rows and five times the columns; the posterior of acceptance has a uniform prior."""
     near = cases.where(F.col("task") == task)
-    if "log_rows" in meta:
-        near = near.where(F.abs(F.try_element_at("meta", F.lit("log_rows")) - meta["log_rows"]) <= 2.302585092994046)
+    for name, times in BUCKETS.items():
+        if name in meta:  # a case that does not tell stays
+            away = F.abs(F.try_element_at("meta", F.lit(name)) - meta[name])
+            near = near.where(F.coalesce(away <= math.log(times), F.lit(True)))
     near = near.withColumn("distance", distance(meta)).orderBy("distance", "id").limit(k)
     per = near.groupBy("family").agg(F.count("*").alias("n"), F.count_if("accepted").alias("accepted"), F.avg("gain").alias("gain"))
     return per.select("family", "n", "accepted", ((F.col("accepted") + 1) / (F.col("n") + 2)).alias("posterior"), (F.col("n") / (F.col("n") + 10.0)).alias("confidence"), "gain")
@@ -85,3 +91,77 @@ def tune(cases: DataFrame, thresholds: dict[str, float], share: float = 0.3, ste
             factor += step
         out[name] = value * min(max(factor, bounds[0]), bounds[1])
     return out
+
+
+class Ranker:
+    """Usefulness of a case as a linear function of the products of its meta-features with those asked for. Only sums of
+    products are kept, so learning is exact and its order does not matter; it ranks once LEAST triples were seen."""
+
+    LEAST, RIDGE = 20, 1e-3
+
+    def __init__(self) -> None:
+        k = len(WEIGHTS) + 1
+        self.seen, self._xx, self._xy = 0, np.zeros((k, k)), np.zeros(k)
+
+    @property
+    def active(self) -> bool:
+        return self.seen >= self.LEAST
+
+    def update(self, asked: dict[str, float], case: dict[str, float], useful: float) -> None:
+        x = np.array([1.0, *(asked.get(k, 0.0) * case.get(k, 0.0) for k in WEIGHTS)])
+        self._xx += np.outer(x, x)
+        self._xy += x * useful
+        self.seen += 1
+
+    def weights(self) -> list[float]:
+        return np.linalg.solve(self._xx + self.RIDGE * np.eye(len(self._xy)), self._xy).tolist()
+
+    def score(self, asked: dict[str, float]) -> Column:
+        """The score of each case of a frame of cases."""
+        bias, *slopes = self.weights()
+        out = F.lit(bias)
+        for k, w in zip(WEIGHTS, slopes, strict=True):
+            if k in asked:
+                out = out + F.coalesce(w * asked[k] * F.try_element_at("meta", F.lit(k)), F.lit(0.0))
+        return out
+
+
+#: fixed values: seconds for a row, a feature, a unit of an operator's complexity, and of any step
+COST = (0.0001, 0.01, 0.5, 0.1)
+#: fixed values: units of complexity by how an operator's work grows
+COMPLEXITY = {"n": 1.0, "n*k": 2.0, "nnz*k": 3.0, "n log n": 4.0, "nkp": 5.0, "n*window": 8.0}
+
+
+class CostModel:
+    """Seconds of a step from rows, features and complexity: COST at first, from five observations on the least squares
+    that stay nearest to it."""
+
+    def __init__(self) -> None:
+        self.observed: list[tuple[float, ...]] = []
+
+    def observe(self, rows: int, features: int, growth: str, seconds: float) -> None:
+        self.observed.append((rows, features, COMPLEXITY[growth], 1.0, seconds))
+
+    def predict(self, rows: int, features: int, growth: str = "n") -> float:
+        w = np.array(COST)
+        if len(self.observed) >= 5:
+            seen = np.array(self.observed)
+            x, y = seen[:, :4], seen[:, 4]
+            scale = np.maximum(np.abs(x).max(axis=0), 1e-12)  # rows are millions, features tens
+            moved = np.linalg.lstsq(x / scale, y - x @ w, rcond=None)[0]
+            w = w + moved / scale
+        return max(0.0, float(np.array([rows, features, COMPLEXITY[growth], 1.0]) @ w))
+
+
+#: fixed values: what features of a family are expected to gain before any was tried; others 0.1
+FAMILY_GAIN = {
+    "numeric": 0.3, "numeric interaction": 0.25, "categorical": 0.2, "datetime": 0.15, "temporal": 0.2, "group aggregate": 0.15, "text": 0.1,
+    "text representation": 0.1, "dimensionality": 0.05, "cluster": 0.05, "model-informed": 0.1,
+}
+
+
+def expected_gain(family: str, null_fraction: float, variance: float, inputs: int) -> float:
+    """A prior between 0 and 1: less for nulls, for variances far below 10 or far above, and for many inputs."""
+    spread = min(1.0, variance / 10) * (1 - min(1.0, variance / 1000))
+    few = 1 / (1 + math.log1p(inputs) / 10)
+    return FAMILY_GAIN.get(family, 0.1) * (1 - null_fraction) * (0.5 + 0.5 * spread) * (0.7 + 0.3 * few)
